@@ -155,13 +155,13 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 8, min_it
 
 ORACLE = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents
 ), item_words AS (
-  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), windows AS (
-  SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 7) + 1), i -> array_to_string(w[i:i + 7], ' '))) AS win, least(len(w), 8) AS size
+  SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 7) + 1), lambda i: array_to_string(w[i:i + 7], ' '))) AS win, least(len(w), 8) AS size
   FROM item_words WHERE len(w) > 0
 ), sizes AS (SELECT DISTINCT size FROM windows),
 runs AS (

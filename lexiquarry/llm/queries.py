@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import decontaminate, extract, mixing, quality, simhash, toxicity
+from lexiquarry.llm import decontaminate, extract, mixing, quality, simhash, substring, toxicity
 from lexiquarry.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "cut_bytes", F.size("spans").alias("n_spans"), (F.size("spans") > 0).alias("repeats"), "text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -37,7 +42,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract, op3_simhash, op4_mix, op8_quality, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_extract, op3_simhash, op4_mix, op6_substring, op8_quality, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,17 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(frame: DataFrame, label: str) -> DataFrame:
+def staged(frame: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write the frame into the shared folder and read it back.
 
     This cuts the lineage and survives the loss of any executor, and the plans
     that follow see the true size of the data. The files go when the
-    application ends, or with ``clear_staged``.
+    application ends, or with ``clear_staged``. ``release`` lets the driver
+    collect garbage, upon which Spark drops the shuffle files of finished jobs.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     _staged.append((spark, path))
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 

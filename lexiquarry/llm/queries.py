@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import decontaminate, extract, mixing, quality, simhash, substring, toxicity
+from lexiquarry.llm import decontaminate, extract, linededup, mixing, quality, simhash, substring, toxicity
 from lexiquarry.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"), page_id="page_id", url="url")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "removed_lines", "text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.components(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract, op3_simhash, op4_mix, op6_substring, op8_quality, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_extract, op2_line_dedup, op3_simhash, op4_mix, op6_substring, op8_quality, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import decontaminate, extract, linededup, mixing, quality, simhash, substring, toxicity
+from lexiquarry.llm import ann, decontaminate, extract, linededup, mixing, quality, simhash, substring, toxicity
 from lexiquarry.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "cut_bytes", F.size("spans").alias("n_spans"), (F.size("spans") > 0).alias("repeats"), "text")
@@ -46,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract, op2_line_dedup, op3_simhash, op4_mix, op6_substring, op8_quality, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_extract, op2_line_dedup, op3_simhash, op4_mix, op5_ann, op6_substring, op8_quality, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -131,6 +131,15 @@ def proximity(documents: DataFrame, items: DataFrame, span: int, width: int = 8,
     return hit.select("doc_id", "win", low.alias("at")).join(windows.select("win", F.explode("items").alias("item")), "win").select("doc_id", "item", "at").distinct()
 
 
+def keep(documents: DataFrame, items: DataFrame, width: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that hold windows of fewer than ``min_items`` items, columns as they are."""
+    _, exact = occurrences(documents, items, width, doc_id, text, item_id, item_text)
+    found = exact.groupBy("k1", "k2").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n"))
+    bad, _ = small(staged(found.filter(F.col("n") >= min_items).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "leaks"), BROADCAST_ROWS)
+    h1, h2 = two_hashes(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
+    return documents.join(bad, (h1 == F.col("__k1")) & (h2 == F.col("__k2")), "left_anti")
+
+
 def contamination(documents: DataFrame, items: DataFrame, width: int = 8, min_items: int = 2, **names: str) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     index, exact = occurrences(documents, items, width, **names)

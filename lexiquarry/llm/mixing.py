@@ -175,19 +175,25 @@ def _fill(rows: DataFrame, drawn: DataFrame) -> DataFrame:
     return chosen
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, pattern, size, hash, copies, source_size, target) per input row.
+def _decorated(documents: DataFrame, seed: int, doc_id: str, text: str, source: str) -> DataFrame:
+    """``documents`` with its pattern, size and hash, under names that clash with none of its own."""
+    member = F.col(f"`{source}`") if dict(documents.dtypes)[source].startswith("array") else F.array(F.col(f"`{source}`"))
+    salt = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    hashed = F.xxhash64(F.lit(seed), salt, body).bitwiseAND(F.lit((1 << 63) - 1))
+    return documents.withColumns({"__mix_pattern": F.to_json(F.array_sort(F.array_distinct(member))), "__mix_size": word_count(body), "__mix_hash": hashed})
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, size, copies, source_size, target) per input row.
 
     ``source`` is a string column, or an array of strings where a document
     belongs to several sources: ``source_size`` and ``target`` are then sums over
     its sources. Weights go round the sources in code-point order, null last.
     """
-    kind = dict(documents.dtypes)[source]
-    member = F.col(source) if kind.startswith("array") else F.array(F.col(source))
-    pattern = F.array_sort(F.array_distinct(member))
-    salt = F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))
-    hashed = F.xxhash64(F.lit(seed), salt, F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
-    rows = staged(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.to_json(pattern).alias("pattern"), word_count(F.col(text)).alias("size"), hashed.alias("hash")), "sizes")
+    marked = _decorated(documents, seed, doc_id, text, source)
+    own = [F.col("__mix_pattern").alias("pattern"), F.col("__mix_size").alias("size"), F.col("__mix_hash").alias("hash")]
+    rows = staged(marked.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *own), "sizes")
     spark = documents.sparkSession
     totals = rows.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("members", F.from_json("pattern", "array<string>"))
     known = totals.limit(MAX_PATTERNS + 1).collect()
@@ -199,16 +205,27 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     members = [tuple(place[m] for m in r["members"]) for r in known]
     sizes = [sum(r["size"] for r, own in zip(known, members) if i in own) for i in range(len(names))]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, cap)
-    given = route([(own, r["size"]) for own, r in zip(members, known)], [round(g) for g in goal], cap)
-    plan = [(r["pattern"], g // r["size"] if r["size"] else 0, g % r["size"] if r["size"] else 0, sum(sizes[m] for m in own), float(sum(goal[m] for m in own))) for r, own, g in zip(known, members, given)]
+    given = route([(m, r["size"]) for m, r in zip(members, known)], [round(g) for g in goal], cap)
+    plan = [(r["pattern"], g // r["size"] if r["size"] else 0, g % r["size"] if r["size"] else 0, sum(sizes[i] for i in m), float(sum(goal[i] for i in m))) for r, m, g in zip(known, members, given)]
     planned = spark.createDataFrame(plan, "pattern string, whole long, need long, source_size long, target double")
     drawn = staged(_draw(rows, planned.select("pattern", "need")), "drawn")
-    chosen = _fill(rows, drawn).withColumn("extra", F.lit(1))
-    full = rows.join(F.broadcast(planned), "pattern").join(F.broadcast(drawn.select("pattern", "cut")), "pattern").join(F.broadcast(chosen), ["pattern", "hash"], "left")
+    chosen = _fill(rows, drawn)
+    base = rows.select(F.struct("doc_id").alias("row"), "pattern", "size", "hash")
+    if carry:
+        kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+        base = marked.select(F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *kept).alias("row"), *own)
+    full = base.join(F.broadcast(planned), "pattern").join(F.broadcast(drawn.select("pattern", "cut")), "pattern").join(F.broadcast(chosen.withColumn("extra", F.lit(1))), ["pattern", "hash"], "left")
     more = (F.col("hash") < F.col("cut")) | F.col("extra").isNotNull()
-    return full.select("doc_id", "pattern", "size", "hash", (F.col("whole") + more.cast("long")).alias("copies"), "source_size", "target")
+    carried = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)] if carry else [F.col("row.doc_id")]
+    return full.select(*carried, "size", (F.col("whole") + more.cast("long")).alias("copies"), "source_size", "target")
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per input row."""
     return mix(documents, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def select(documents: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with their columns and ``copies``, how often."""
+    mixed = mix(documents, carry=tuple(documents.columns), **options)
+    return mixed.filter((F.col("copies") > 0) & (F.col("size") > 0)).select(*(F.col(f"`{c}`") for c in documents.columns), "copies")

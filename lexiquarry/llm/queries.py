@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import ann, decontaminate, extract, linededup, mixing, quality, simhash, substring, toxicity
+from lexiquarry.llm import ann, decontaminate, extract, linededup, mixing, pii, quality, simhash, substring, toxicity
 from lexiquarry.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "cut_bytes", F.size("spans").alias("n_spans"), (F.size("spans") > 0).alias("repeats"), "text")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_mentions", "text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -50,7 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract, op2_line_dedup, op3_simhash, op4_mix, op5_ann, op6_substring, op8_quality, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_extract, op2_line_dedup, op3_simhash, op4_mix, op5_ann, op6_substring, op7_pii, op8_quality, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

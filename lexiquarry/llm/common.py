@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,32 +35,48 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(frame: DataFrame, label: str, release: bool = False) -> DataFrame:
+def staged(frame: DataFrame, label: str) -> DataFrame:
     """Write the frame into the shared folder and read it back.
 
     This cuts the lineage and survives the loss of any executor, and the plans
     that follow see the true size of the data. The files go when the
-    application ends, or with ``clear_staged``. ``release`` lets the driver
-    collect garbage, upon which Spark drops the shuffle files of finished jobs.
+    application ends, or with ``settled`` or ``clear_staged``.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     _staged.append((spark, path))
-    if release:
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``, staged; what was staged on the way to it is deleted."""
+    mark = len(_staged)
+    kept = staged(build(), label)
+    for _, path in _staged[mark:-1]:
+        _delete(spark, path)
+    del _staged[mark:-1]
+    release(spark)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_staged() -> None:
     """Delete every staged table; frames that still read them become unusable."""
     while _staged:
         spark, path = _staged.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = spark.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may already be gone at exit
             return
 
@@ -67,11 +84,6 @@ def clear_staged() -> None:
 atexit.register(clear_staged)
 
 
-def local_scratch() -> str:
-    """A driver-side scratch folder, for models that never leave the driver."""
-    return tempfile.mkdtemp(prefix="lexiquarry-")
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     plain = F.length(text) == F.octet_length(text)

@@ -205,13 +205,13 @@ def replace(documents: DataFrame, key: str = "lexiquarry", doc_id: str = "doc_id
     found = rows.select("k1", "k2", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("m")).filter(F.size("m") > 0)
     each = found.select("k1", "k2", F.posexplode("m").alias("place", "mention")).groupBy("k1", "k2", "place").agg(F.first("mention").alias("mention"))
     split = each.select("k1", "k2", "place", F.posexplode(parts(F.col("mention"))).alias("part", "p")).select("k1", "k2", "place", "part", "p.*")
-    split = staged(split.withColumn("real", F.regexp_replace("kind", "^surname_a$", "surname")), "mentions", release=True)
+    split = staged(split.withColumn("real", F.regexp_replace("kind", "^surname_a$", "surname")), "mentions")
     chosen = surrogates(split.select(F.col("real").alias("kind"), "value"), key).withColumnRenamed("kind", "real")
     listed, _ = small(chosen, BROADCAST_ROWS)
     ending = F.when((F.col("kind") == "surname_a") & F.col("surrogate").rlike("(?:ов|ев|ин)$"), F.concat("surrogate", F.lit("а"))).otherwise(F.col("surrogate"))
     shown = split.join(listed, ["real", "value"]).select("k1", "k2", "place", "part", F.concat("prefix", _shown(F.col("kind"), F.col("shown"), ending)).alias("new"))
     whole = shown.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "part", "new"))).alias("__new"))
-    whole = staged(whole.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new"), "replacements", release=True)
+    whole = staged(whole.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new"), "replacements")
     keyed = documents.withColumns({"__h1": F.when(body.rlike(HINT), h1), "__h2": h2})
     joined = keyed.join(small(whole, BROADCAST_ROWS)[0], (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
     between = F.transform(F.split(body, ANY), lambda s, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.array_join(F.transform(F.filter("__new", lambda n: n["place"] == i - 1), lambda n: n["new"]), "")), s))

@@ -62,29 +62,44 @@ def kmeans(vectors: DataFrame, k: int, centroids: DataFrame | None = None, max_i
     """Assignments and centroids when the summed similarity gains no more.
 
     ``compat`` stops as soon as the sum doesn't fall, which usually means after the
-    second round. Only K centroid rows pass between rounds.
+    second round. A round is one job: what reaches the driver are K times dimension sums.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).cache()
-    centres = seeds(rows, k, seed) if centroids is None else centroids
+    rows = usable(vectors).persist()
+    centres = {r["cluster"]: list(r["centroid"]) for r in (seeds(rows, k, seed) if centroids is None else centroids).collect()}
     previous = 99999.0 if compat else None
     for _ in range(max_iter):
-        held = spark.createDataFrame(centres.collect(), "cluster int, centroid array<double>")  # K rows
-        assigned = assign(rows, held)
-        centres = update(assigned, held)
-        moved = spark.createDataFrame(centres.collect(), "cluster int, centroid array<double>")
-        total = rows_similarity(assigned, moved)
-        centres = moved
+        assigned = assign(rows, _table(spark, centres))
+        total = _move(assigned, centres)
         if previous is not None and (total >= previous if compat else total - previous <= TOLERANCE * abs(previous)):
             break
         previous = total
-    return (assigned if compat else assign(rows, centres)), centres
+    moved = _table(spark, centres)
+    return (assigned if compat else assign(rows, moved)), moved
 
 
-def rows_similarity(assigned: DataFrame, centroids: DataFrame) -> float:
-    """The summed similarity of members to the given centroids."""
-    pairs = assigned.select("vec", "cluster").join(F.broadcast(centroids), "cluster").filter(norm(F.col("centroid")) > 0)
-    return pairs.agg(F.sum(cosine(F.col("vec"), F.col("centroid")))).first()[0] or 0.0
+def _table(spark, centres: dict[int, list[float]]) -> DataFrame:
+    return spark.createDataFrame(sorted(centres.items()), "cluster int, centroid array<double>")
+
+
+def _move(assigned: DataFrame, centres: dict[int, list[float]]) -> float:
+    """Move each centroid to its members' mean; returns the members' summed similarity to it.
+
+    The sum of cosines with one centroid is its product with the sum of the members' unit vectors.
+    """
+    each = assigned.select("cluster", norm(F.col("vec")).alias("n"), F.posexplode("vec").alias("pos", "x"))
+    sums = each.groupBy("cluster", "pos").agg(F.avg("x").alias("mean"), F.sum(F.col("x") / F.col("n")).alias("unit")).orderBy("cluster", "pos").collect()
+    means: dict[int, list[float]] = {}
+    units: dict[int, list[float]] = {}
+    for r in sums:
+        means.setdefault(r["cluster"], []).append(r["mean"])
+        units.setdefault(r["cluster"], []).append(r["unit"])
+    total = 0.0
+    for c, mean in means.items():
+        centres[c] = mean
+        length = sum(x * x for x in mean) ** 0.5
+        total += sum(x * u for x, u in zip(mean, units[c])) / length if length else 0.0
+    return total
 
 
 def interclass(centroids: DataFrame) -> DataFrame:

@@ -1,11 +1,421 @@
-"""Registry of the engine's own queries and their oracles."""
+"""Registry of the engine's own queries and their oracles.
+
+The corpus is ``documents``, the topics are ``benchmark`` (item_id, text), judgements
+are the documents that contain a topic's text, vectors are ``embeddings``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiquarry.functions import special, text
+from lexiquarry.operators import cluster, dynamic, evaluate, index, ranking, vectors
+from lexiquarry.plans import oracles as sql
+from lexiquarry.sources import readers, sinks
+
+CLUSTERS, DIMENSIONS = 8, 50
+#: Lines with the special tokens that the prose lacks; ids below zero.
+EXTRA_LINES = [
+    (-1, "Filed on December 31, 1993 and Jan 5, 94, again 2/29/2012 and 13-1-1999 or 4/31/1990 and Sept 9, 2001"),
+    (-2, "see http://www.example.org/a%20b?x=1 or https://example.com/report.pdf for details"),
+    (-3, "open report.PDF, image.jpg and notes.html today"),
+    (-4, "paid $12.50 and §§3.5 or 2.5 and 7.49 to J. Doe <j.doe@mail.example.org> at 10.20.30.40"),
+    (-5, "CDC-50 and 50-mile pre-processing in part-of-speech U.S. AT&amp;T well-known 1-2-3 co-operate ex-post-facto"),
+    (-6, "a&blank;b&hyph;c &sect;12 2&times;3 &cir; &racute;"),
+]
+
+_held: dict[tuple, index.Index] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark", F.col("item_id").alias("query_id"), F.col("text").alias("title"))
+
+
+def held_index(spark: SparkSession, sf_dir: str, kind: str = "plain") -> index.Index:
+    """The index of a folder's documents; its postings are kept, so that texts are tokenised once."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _held:
+        docs = documents(spark, sf_dir)
+        _held[key] = index.from_postings(index.build_index(docs, kind).postings.persist())
+    return _held[key]
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.topic_terms(topics(spark, sf_dir))
+
+
+# Tokens and indexes
+
+
+def tokens_normalized(spark, d):
+    found = text.tokens(F.col("text"))
+    return documents(spark, d).select("doc_id", F.size(found).alias("n_tokens"), F.array_join(found, " ").alias("tokens"))
+
+
+def lines_split(spark, d):
+    return index.line_rows(documents(spark, d))
+
+
+def tokens_no_stops(spark, d):
+    found = text.terms(F.col("text"))
+    return documents(spark, d).select("doc_id", F.size(found).alias("n_terms"), F.array_join(found, " ").alias("terms"))
+
+
+def term_frequency(spark, d):
+    return index.plain_postings(documents(spark, d))
+
+
+def inverted_index(spark, d):
+    return index.nested(held_index(spark, d).postings).select("term", "df", sinks.posting_line().alias("line"))
+
+
+def lexicon(spark, d):
+    return index.lexicon(held_index(spark, d).postings)
+
+
+def doc_lengths(spark, d):
+    return held_index(spark, d).doc_stats.select("doc_id", "doc_len", F.round("doc_norm2", 6).alias("doc_norm2"))
+
+
+def collection_stats(spark, d):
+    return held_index(spark, d).collection().select("n_docs", "n_tokens", F.round("avg_len", 6).alias("avg_len"))
+
+
+def idf_table(spark, d):
+    return held_index(spark, d).terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+
+
+def lexicon_stats(spark, d):
+    return index.lexicon_stats(held_index(spark, d).terms).withColumn("mean_df", F.round("mean_df", 6))
+
+
+def df_histogram(spark, d):
+    return index.df_histogram(held_index(spark, d).terms)
+
+
+def top_df_terms(spark, d):
+    return held_index(spark, d).terms.orderBy(F.desc("df"), "term").limit(20).select("term", "df")
+
+
+# Ranking and evaluation
+
+
+def bm25_topk(spark, d):
+    return ranking.bm25_scan(documents(spark, d), asked(spark, d))
+
+
+def cosine_topk(spark, d):
+    return ranking.rank(held_index(spark, d), asked(spark, d), "cosine")
+
+
+def lm_dirichlet_topk(spark, d):
+    return ranking.rank(held_index(spark, d), asked(spark, d), "lm")
+
+
+def model_compare(spark, d):
+    held, q = held_index(spark, d), asked(spark, d)
+    runs = [ranking.rank(held, q, m, 10).select(F.lit(m).alias("model"), "query_id", "doc_id", "rank") for m in ranking.MODELS]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+def qrels(spark, d):
+    """Documents that contain a topic's text: each document is held against the array of all topics."""
+    wanted = topics(spark, d).filter("title <> ''")
+    some = wanted.agg(F.collect_list(F.struct("query_id", "title")).alias("all"))
+    if wanted.count() > ranking.BROADCAST_ROWS:
+        raise ValueError("too many topics to hold against each document")
+    held = documents(spark, d).crossJoin(F.broadcast(some))  # one row, so no product
+    return held.select("doc_id", F.explode(F.filter("all", lambda t: F.contains(F.col("text"), t["title"]))).alias("t")).select("t.query_id", "doc_id", F.lit(1).alias("rel")).distinct()
+
+
+def _measure(name: str) -> Callable:
+    def query(spark, d):
+        return evaluate.measures(bm25_topk(spark, d), qrels(spark, d)).select("query_id", F.round(name, 6).alias(name))
+
+    return query
+
+
+def mean_average_precision(spark, d):
+    found = evaluate.summary(bm25_topk(spark, d), qrels(spark, d))
+    return found.select("n_topics", *[F.round(c, 6).alias(c) for c in found.columns if c != "n_topics"])
+
+
+# Special tokens
+
+
+def special_lines(spark, d):
+    rows = index.line_rows(documents(spark, d))
+    more = spark.createDataFrame([(i, 0, x) for i, x in EXTRA_LINES], rows.schema)
+    plain = F.regexp_replace(F.regexp_replace("line", r"[^\P{L}\x00-\x7F]", "q"), r"[^\x00-\x7F§]", " ")
+    return rows.unionByName(more).select("doc_id", "line_no", plain.alias("line"))
+
+
+def _special(name: str) -> Callable:
+    rule = next(r for n, _, r in special.RULES if n == name)
+
+    def query(spark, d):
+        found = special_lines(spark, d).select("doc_id", "line_no", rule(F.col("line")).alias("found"))
+        return found.filter(F.size("found") > 0).select("doc_id", "line_no", F.array_join("found", " ").alias("tokens"))
+
+    return query
+
+
+def single_index(spark, d):
+    marked = special.with_special(special_lines(spark, d).select("doc_id", text.decode_escapes(F.col("line")).alias("line")))
+    return index.counted(marked.select("doc_id", F.explode(F.concat("special", text.terms(F.col("rest")))).alias("term")).filter("term <> ''"))
+
+
+# Phrases and positions
+
+
+def phrase_ngrams(spark, d):
+    return index.phrase_rows(documents(spark, d)).filter(~F.col("crossing")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
+def phrase_cross_line(spark, d):
+    return index.phrase_rows(documents(spark, d)).filter("crossing").select("doc_id", "line_no", "phrase")
+
+
+def phrase_df(spark, d):
+    return held_index(spark, d, "phrase").postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def phrase_filtered(spark, d):
+    return held_index(spark, d, "phrase").postings
+
+
+def query_phrases(spark, d):
+    return dynamic.query_phrases(topics(spark, d)).groupBy("query_id", "phrase").agg(F.count("*").alias("n"))
+
+
+def positional_index(spark, d):
+    return held_index(spark, d, "positional").postings.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
+
+
+def _lists(spark, d):
+    return dynamic.intersection(held_index(spark, d, "positional").postings, dynamic.phrase_terms(dynamic.query_phrases(topics(spark, d))))
+
+
+def posting_intersection(spark, d):
+    return _lists(spark, d).select("key", "doc_id", F.array_join(F.transform("positions", lambda p: F.size(p).cast("string")), " ").alias("tfs"))
+
+
+def proximity_pairs(spark, d):
+    return dynamic.near_pairs(_lists(spark, d).filter(F.size("positions") == 2)).select("key", "doc_id")
+
+
+def proximity_window(spark, d):
+    return dynamic.within(_lists(spark, d)).select("key", "doc_id")
+
+
+def proximity_scan(spark, d):
+    return dynamic.scanned(_lists(spark, d)).select("key", "doc_id")
+
+
+def dynamic_bm25(spark, d):
+    return dynamic.rank_dynamic(topics(spark, d), held_index(spark, d, "phrase"), held_index(spark, d, "positional"), held_index(spark, d), asked(spark, d))
+
+
+def score_fusion(spark, d):
+    held, q = held_index(spark, d), asked(spark, d)
+    return dynamic.fuse(ranking.rank(held, q, "bm25"), ranking.rank(held, q, "cosine")).withColumn("score", F.round("score", 7))
+
+
+def stem_index(spark, d):
+    return held_index(spark, d, "stem").postings
+
+
+def bm25_stem_topk(spark, d):
+    q = asked(spark, d).withColumnRenamed("query_id", "doc_id").withColumnRenamed("qtf", "tf")
+    stems = index.stemmed(q).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+    return ranking.rank(held_index(spark, d, "stem"), stems, "bm25")
+
+
+# Vectors and clusters
+
+
+def select_dimensions(spark, d):
+    return vectors.select_dimensions(held_index(spark, d).terms, DIMENSIONS, queries=asked(spark, d)).withColumn("idf", F.round("idf", 6))
+
+
+def doc_term_matrix(spark, d):
+    held = held_index(spark, d)
+    dims = vectors.select_dimensions(held.terms, DIMENSIONS, queries=asked(spark, d))
+    return vectors.doc_vectors(held, dims).withColumn("weight", F.round("weight", 6))
+
+
+def query_matrix(spark, d):
+    q = asked(spark, d)
+    return vectors.query_vectors(q, vectors.select_dimensions(held_index(spark, d).terms, DIMENSIONS, queries=q)).withColumn("weight", F.round("weight", 6))
+
+
+def _vectors(spark, d):
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return cluster.usable(table(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).filter(finite))
+
+
+def _assigned(spark, d):
+    rows = _vectors(spark, d)
+    seeds = cluster.seeds(rows, CLUSTERS)
+    return cluster.assign(rows, seeds), seeds
+
+
+def kmeans_assign(spark, d):
+    return _assigned(spark, d)[0].select("id", "cluster", F.round("sim", 6).alias("sim"))
+
+
+def _centroids(spark, d):
+    assigned, seeds = _assigned(spark, d)
+    return assigned, cluster.update(assigned, seeds)
+
+
+def kmeans_update(spark, d):
+    return _centroids(spark, d)[1].select("cluster", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+def cluster_cohesion(spark, d):
+    return cluster.cohesion(_assigned(spark, d)[0]).withColumn("cohesion", F.round("cohesion", 6))
+
+
+def interclass_similarity(spark, d):
+    return cluster.interclass(_centroids(spark, d)[1])
+
+
+def intraclass_similarity(spark, d):
+    return cluster.intraclass(*_centroids(spark, d))
+
+
+def _query_vectors(spark, d):
+    return _vectors(spark, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vec")
+
+
+def cluster_route(spark, d):
+    return cluster.routes(_query_vectors(spark, d), _centroids(spark, d)[1])
+
+
+def cluster_search(spark, d):
+    assigned, centroids = _centroids(spark, d)
+    return cluster.search(_query_vectors(spark, d), assigned, centroids)
+
+
+def kmeans_full(spark, d):
+    assigned, _ = cluster.kmeans(_vectors(spark, d), CLUSTERS)
+    return assigned.select("id", "cluster", F.round("sim", 6).alias("sim"))
+
+
+def cluster_search_split(spark, d):
+    assigned, centroids = cluster.kmeans(_vectors(spark, d), CLUSTERS)
+    return cluster.search(_query_vectors(spark, d), assigned, centroids, split_over=100)
+
+
+# Sources and sinks
+
+
+def trec_parse(spark, d):
+    wrapped = F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n<PARENT> P </PARENT>\n<TEXT>"), F.coalesce("text", F.lit("")), F.lit("</TEXT>\n</DOC>"))
+    return readers.split_documents(documents(spark, d).select(wrapped.alias("value")))
+
+
+def topics_parse(spark, d):
+    wrapped = F.concat(F.lit("<top>\n<num> Number: "), F.col("query_id").cast("string"), F.lit("\n<title> Topic: topic number "), F.col("query_id").cast("string"), F.lit("\n<desc> Description:\n"), F.lit("what it is"), F.lit("\n<narr> Narrative:\nmore of it\n</top>"))
+    return readers.split_topics(topics(spark, d).select(wrapped.alias("value")))
+
+
+def pages_text(spark, d):
+    return table(spark, d, "pages", "page_id", readers.strip_markup(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+def run_format(spark, d):
+    return sinks.run_lines(bm25_topk(spark, d), "BM25")
+
+
+_MEASURES = ("precision_at_k", "recall_at_k", "average_precision", "reciprocal_rank", "r_precision")
+_SPECIAL = tuple(name for name, _, _ in special.RULES)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    plain = (
+        tokens_normalized, lines_split, tokens_no_stops, term_frequency, inverted_index, lexicon, doc_lengths, collection_stats, idf_table, lexicon_stats, df_histogram, top_df_terms,
+        bm25_topk, cosine_topk, lm_dirichlet_topk, model_compare, qrels, mean_average_precision, single_index,
+        phrase_ngrams, phrase_cross_line, phrase_df, phrase_filtered, query_phrases, positional_index, posting_intersection, proximity_pairs, proximity_window, proximity_scan, dynamic_bm25, score_fusion,
+        stem_index, bm25_stem_topk, select_dimensions, doc_term_matrix, query_matrix,
+        kmeans_assign, kmeans_update, cluster_cohesion, interclass_similarity, intraclass_similarity, cluster_route, cluster_search, kmeans_full, cluster_search_split,
+        trec_parse, topics_parse, pages_text, run_format,
+    )
+    found = {f.__name__: f for f in plain}
+    found.update({m: _measure(m) for m in _MEASURES})
+    found.update({f"special_{n}": _special(n) for n in _SPECIAL})
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    base = f"WITH {sql.POSTINGS}"
+    phrases, lists, groups = f"WITH {sql.PHRASES}", f"WITH {sql.LISTS}", f"WITH {sql.clusters(CLUSTERS)}"
+    chosen = f"""chosen AS (SELECT term, idf, 0 AS extra FROM (SELECT * FROM terms WHERE idf >= 1 ORDER BY idf, term LIMIT {DIMENSIONS})),
+dims AS (SELECT (row_number() OVER (ORDER BY extra, term) - 1)::INT AS dim, term, idf FROM (SELECT * FROM chosen UNION ALL SELECT term, idf, 1 FROM terms WHERE term IN (SELECT term FROM q) AND term NOT IN (SELECT term FROM chosen)))"""
+    strip = lambda c: f"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')"
+    routed = f"routes AS (SELECT query_id, cluster, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, cluster)::INT AS place FROM (SELECT v.id AS query_id, cluster, round({sql.cos('vec', 'centroid')}, 6) AS sim FROM vectors v, centres WHERE v.id % 20 = 0))"
+    near = "len(list_filter(lists[1], lambda a: len(list_filter(lists[2], lambda b: abs(a - b) <= 15)) > 0)) > 0"
+    within = "len(list_filter(flatten(lists), lambda s: len(list_filter(lists, lambda p: len(list_filter(p, lambda x: x >= s AND x <= s + 15)) > 0)) = len(lists))) > 0"
+    found = {
+        "tokens_normalized": f"SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {sql.tokens('text')} AS t FROM documents)",
+        "lines_split": f"SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, {sql.lines('text')} AS l FROM documents)",
+        "tokens_no_stops": f"SELECT doc_id, len(t)::INT AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, {sql.terms('text')} AS t FROM documents)",
+        "term_frequency": f"{base} SELECT term, doc_id, tf FROM post",
+        "inverted_index": f"{base} SELECT term, count(*) AS df, term || ' -> [' || string_agg('[''' || doc_id || ''', ''' || tf || ''']', ', ' ORDER BY doc_id) || ']' AS line FROM post GROUP BY term",
+        "lexicon": f"{base} SELECT DISTINCT term FROM post",
+        "doc_lengths": f"{base} SELECT doc_id, doc_len, round(doc_norm2, 6) AS doc_norm2 FROM norms",
+        "collection_stats": f"{base} SELECT n_docs, n_tokens, round(avg_len, 6) AS avg_len FROM col",
+        "idf_table": f"{base} SELECT term, df, cf, round(idf, 6) AS idf FROM terms",
+        "lexicon_stats": f"{base} SELECT count(*) AS n_terms, max(df) AS max_df, (SELECT term FROM terms ORDER BY df DESC, term LIMIT 1) AS max_term, min(df) AS min_df, (SELECT term FROM terms ORDER BY df, term LIMIT 1) AS min_term, round(avg(df), 6) AS mean_df, quantile_cont(df, 0.5) AS median_df, (SELECT df FROM terms GROUP BY df ORDER BY count(*) DESC, df LIMIT 1) AS mode_df FROM terms",
+        "df_histogram": f"{base} SELECT df, count(*) AS n_terms FROM terms GROUP BY df",
+        "top_df_terms": f"{base} SELECT term, df FROM terms ORDER BY df DESC, term LIMIT 20",
+        "bm25_topk": sql.topk("bm25"),
+        "cosine_topk": sql.topk("cosine"),
+        "lm_dirichlet_topk": sql.topk("lm"),
+        "model_compare": f"{base} " + " UNION ALL ".join(f"SELECT '{m}' AS model, query_id, doc_id, rank FROM ({sql.ranked(s, 10)})" for m, s in sql.SCORES.items()),
+        "qrels": f"WITH {sql.QRELS} SELECT query_id, doc_id, 1 AS rel FROM qrels",
+        "mean_average_precision": f"{sql.MEASURES} SELECT count(*) AS n_topics, " + ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in _MEASURES) + " FROM measures",
+        "single_index": sql.single_index(EXTRA_LINES),
+        "phrase_ngrams": f"{phrases} SELECT doc_id, phrase, count(*) AS n FROM inside GROUP BY doc_id, phrase",
+        "phrase_cross_line": f"{phrases} SELECT doc_id, line_no, phrase FROM crossing",
+        "phrase_df": f"{phrases} SELECT phrase AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM phrases GROUP BY phrase HAVING count(DISTINCT doc_id) > 1",
+        "phrase_filtered": f"{phrases}, pp AS (SELECT phrase AS term, doc_id, count(*) AS tf FROM phrases GROUP BY phrase, doc_id) SELECT term, doc_id, tf FROM pp WHERE term IN (SELECT term FROM pp GROUP BY term HAVING count(*) > 1)",
+        "query_phrases": f"WITH {sql.ASKED} SELECT query_id, phrase, count(*) AS n FROM asked GROUP BY query_id, phrase",
+        "positional_index": f"WITH {sql.POSITIONS} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM pos",
+        "posting_intersection": f"{lists} SELECT key, doc_id, array_to_string(list_transform(lists, lambda p: len(p)), ' ') AS tfs FROM lists",
+        "proximity_pairs": f"{lists} SELECT key, doc_id FROM lists WHERE len(lists) = 2 AND {near}",
+        "proximity_window": f"{lists} SELECT key, doc_id FROM lists WHERE {within}",
+        "score_fusion": f"{base}, a AS ({sql.ranked(sql.SCORES['bm25'], 100)}), b AS ({sql.ranked(sql.SCORES['cosine'], 100)}) SELECT query_id, doc_id, round(CASE WHEN a.score IS NOT NULL AND b.score IS NOT NULL THEN (a.score + b.score) / 2 ELSE coalesce(b.score, a.score) END, 7) AS score FROM a FULL JOIN b USING (query_id, doc_id)",
+        "select_dimensions": f"{base}, {chosen} SELECT dim, term, round(idf, 6) AS idf FROM dims",
+        "doc_term_matrix": f"{base}, {chosen} SELECT doc_id, dim, round(tf * idf, 6) AS weight FROM post JOIN dims USING (term)",
+        "query_matrix": f"{base}, {chosen} SELECT query_id, dim, round(qtf * idf, 6) AS weight FROM q JOIN dims USING (term)",
+        "kmeans_assign": f"{groups} SELECT id, cluster, round(sim, 6) AS sim FROM assigned",
+        "kmeans_update": f"{groups} SELECT cluster, generate_subscripts(centroid, 1)::INT - 1 AS pos, round(unnest(centroid), 6) AS x FROM centres",
+        "cluster_cohesion": f"{groups} SELECT cluster, count(*) AS size, round(sum(sim), 6) AS cohesion FROM assigned GROUP BY cluster",
+        "interclass_similarity": f"{groups} SELECT count(*) AS n_pairs, round(avg({sql.cos('a.centroid', 'b.centroid')}), 2) AS interclass FROM centres a JOIN centres b ON a.cluster < b.cluster",
+        "intraclass_similarity": f"{groups} SELECT cluster, round(avg({sql.cos('vec', 'centroid')}), 2) AS intraclass FROM assigned JOIN centres USING (cluster) GROUP BY cluster",
+        "cluster_route": f"{groups}, {routed} SELECT query_id, cluster, sim, place FROM routes",
+        "cluster_search": f"""{groups}, {routed}, sizes AS (SELECT cluster, count(*) AS size FROM assigned GROUP BY cluster),
+ordered AS (SELECT query_id, cluster, coalesce(sum(size) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM routes JOIN sizes USING (cluster)),
+scored AS (SELECT o.query_id, m.id, round({sql.cos('v.vec', 'm.vec')}, 6) AS score FROM ordered o JOIN vectors v ON v.id = o.query_id JOIN assigned m ON m.cluster = o.cluster WHERE had < 100)
+SELECT query_id, id, rank, score FROM (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1)::INT AS rank FROM scored) WHERE rank < 100""",
+        "trec_parse": f"SELECT doc_id::VARCHAR AS doc_id, 'P' AS parent, {strip("coalesce(text, '')")} AS text FROM documents",
+        "topics_parse": "SELECT item_id::VARCHAR AS query_id, 'topic number ' || item_id AS title, 'what it is' AS description, 'more of it' AS narrative FROM benchmark",
+        "pages_text": f"SELECT page_id, {strip("coalesce(html, '')")} AS text FROM pages",
+        "run_format": f"SELECT query_id || ' 0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', score) || ' BM25' AS value FROM ({sql.topk('bm25')})",
+    }
+    found.update({m: sql.measure(m) for m in _MEASURES})
+    found.update({f"special_{n}": sql.special_found(n, EXTRA_LINES) for n in _SPECIAL})
+    return found

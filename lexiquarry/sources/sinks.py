@@ -35,7 +35,7 @@ def write_lexicon(postings: DataFrame, path: str) -> None:
 
 def run_lines(run: DataFrame, tag: str, doc: str = "doc_id") -> DataFrame:
     """``qid 0 doc rank score TAG`` lines."""
-    return run.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0"), F.col(doc).cast("string"), F.col("rank").cast("string"), F.col("score").cast("string"), F.lit(tag)).alias("value"))
+    return run.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0"), F.col(doc).cast("string"), F.col("rank").cast("string"), F.format_string("%.6f", F.col("score").cast("double")), F.lit(tag)).alias("value"))
 
 
 def write_run(run: DataFrame, path: str, tag: str, mode: str = "overwrite") -> None:

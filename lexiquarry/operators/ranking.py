@@ -50,9 +50,16 @@ def matched(index: Index, queries: DataFrame) -> DataFrame:
     return index.postings.select("term", "doc_id", "tf").join(known, "term").join(hinted(index.terms.join(known.select("term").distinct(), "term", "left_semi")), "term")
 
 
+def collection_row(index: Index) -> list[Column]:
+    """The collection's one row of counts as literals."""
+    row = index.collection().first()
+    return [F.lit(row["n_docs"]), F.lit(row["n_tokens"] or 0), F.lit(row["avg_len"])]
+
+
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
-    rows = matched(index, queries).join(index.doc_stats.select("doc_id", "doc_len"), "doc_id").crossJoin(F.broadcast(index.collection()))
-    weight = bm25_weight(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("qtf"), F.col("doc_len"), F.col("avg_len"))
+    n_docs, _, avg_len = collection_row(index)
+    rows = matched(index, queries).join(index.doc_stats.select("doc_id", "doc_len"), "doc_id")
+    weight = bm25_weight(n_docs, F.col("df"), F.col("tf"), F.col("qtf"), F.col("doc_len"), avg_len)
     return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
@@ -74,16 +81,17 @@ def likelihood(index: Index, queries: DataFrame, k: int = 100) -> DataFrame:
     (length, id), stand for all others: a query's best k are among those that
     match it and these. No query is crossed with all documents.
     """
-    stats = F.broadcast(index.collection())
-    own = queries.join(hinted(index.terms.select("term", "cf")), "term").crossJoin(stats)
-    base = own.groupBy("query_id").agg(F.sum(F.log(F.col("avg_len") * F.col("cf") / F.col("n_tokens"))).alias("base"), F.count("*").alias("m"), F.first("avg_len").alias("mu"))
-    gain = F.log(1 + F.col("tf") * F.col("n_tokens") / (F.col("avg_len") * F.col("cf")))
-    hits = matched(index, queries).crossJoin(stats).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("gain"))
+    _, n_tokens, mu = collection_row(index)
+    asked = hinted(queries.select("term").distinct())
+    own = queries.join(hinted(index.terms.select("term", "cf").join(asked, "term", "left_semi")), "term")
+    base = own.groupBy("query_id").agg(F.sum(F.log(mu * F.col("cf") / n_tokens)).alias("base"), F.count("*").alias("m"))
+    gain = F.log(1 + F.col("tf") * n_tokens / (mu * F.col("cf")))
+    hits = matched(index, queries).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("gain"))
     short = index.doc_stats.select("doc_id", "doc_len").orderBy("doc_len", "doc_id").limit(k)
     plain = base.select("query_id").crossJoin(F.broadcast(short.select("doc_id"))).withColumn("gain", F.lit(0.0))  # k rows a query
     both = hits.unionByName(plain).groupBy("query_id", "doc_id").agg(F.sum("gain").alias("gain"))
     rows = both.join(hinted(base), "query_id").join(index.doc_stats.select("doc_id", "doc_len"), "doc_id")
-    return rows.select("query_id", "doc_id", (F.col("base") - F.col("m") * F.log(F.col("doc_len") + F.col("mu")) + F.col("gain")).alias("score"))
+    return rows.select("query_id", "doc_id", (F.col("base") - F.col("m") * F.log(F.col("doc_len") + mu) + F.col("gain")).alias("score"))
 
 
 MODELS = {"bm25": bm25, "cosine": cosine, "lm": likelihood}
@@ -110,6 +118,7 @@ def bm25_scan(docs: DataFrame, queries: DataFrame, k: int = 100, stops=STOP_WORD
     hits = sized.select("doc_id", F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term")).join(hinted(queries.select("term").distinct()), "term", "left_semi")
     postings = hits.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = postings.join(counts, "term").join(known, "term").crossJoin(F.broadcast(collection_stats(lengths)))
-    weight = bm25_weight(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("qtf"), F.col("doc_len"), F.col("avg_len"))
+    size = collection_stats(lengths).first()
+    rows = postings.join(counts, "term").join(known, "term")
+    weight = bm25_weight(F.lit(size["n_docs"]), F.col("df"), F.col("tf"), F.col("qtf"), F.col("doc_len"), F.lit(size["avg_len"]))
     return top(rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score")), k)

@@ -43,11 +43,12 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_index(spark: SparkSession, sf_dir: str, kind: str = "plain") -> index.Index:
-    """The index of a folder's documents; its postings are kept, so that texts are tokenised once."""
+    """The index of a folder's documents; its tables are kept, so that texts are tokenised and counted once."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _held:
         docs = documents(spark, sf_dir)
-        _held[key] = index.from_postings(index.build_index(docs, kind).postings.persist())
+        held = index.from_postings(index.build_index(docs, kind).postings.persist())
+        _held[key] = index.Index(held.postings, held.terms.persist(), held.doc_stats.persist())
     return _held[key]
 
 

@@ -46,6 +46,33 @@ def test_line_dedup_keeps_the_first_of_a_group(spark):
     assert got[4] == (None, 0) and got[5] == ("", 0)
 
 
+def test_line_dedup_finds_the_near_lines_of_brute_force(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = linededup.distinct_lines(linededup.line_table(docs)).localCheckpoint()
+    texts = linededup._split(docs).select(linededup.two_hashes(F.col("line"))[0].alias("id"), "line").distinct().withColumn("n", F.length("line"))
+    texts = texts.filter((F.size(F.split("line", " ")) >= linededup.LEAST_WORDS) & (F.col("n") <= linededup.LONG_LINE)).repartition(8)
+    left, right = (texts.select(*(F.col(c).alias(c + s) for c in ("id", "line", "n"))) for s in "ab")
+    pairs = left.join(F.broadcast(right), (F.col("na") >= F.col("nb")) & (F.col("nb") >= 0.8 * F.col("na") - 1) & (F.col("ida") != F.col("idb")))
+    pairs = [(r.ida, r.idb) for r in pairs.filter("levenshtein(linea, lineb, cast(floor(na * 0.200000001D) as int)) >= 0").select("ida", "idb").collect()]
+    root = {r.id: r.root for r in linededup.fuzzy_groups(docs, lines).collect()}
+    together = sum(root.get(a, a) == root.get(b, b) for a, b in pairs)
+    assert len(pairs) >= 40 and together >= 0.98 * len(pairs)
+
+
+@pytest.mark.parametrize("words, changed", [(10, 1), (20, 1), (20, 2), (60, 6)])
+def test_line_dedup_finds_lines_with_changed_words(spark, words, changed):
+    rng = np.random.default_rng(words + changed)
+    rows = []
+    for i in range(100):
+        line = [f"{x:08x}" for x in rng.integers(0, 1 << 32, words)]
+        other = list(line)
+        for at in rng.choice(words, changed, replace=False):
+            other[at] = f"{rng.integers(0, 1 << 32):08x}"
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] for i in range(100)) == 0 and sum(got[2 * i + 1] for i in range(100)) >= 97
+
+
 def test_decontamination_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -73,6 +73,25 @@ def test_line_dedup_finds_lines_with_changed_words(spark, words, changed):
     assert sum(got[2 * i] for i in range(100)) == 0 and sum(got[2 * i + 1] for i in range(100)) >= 97
 
 
+def test_line_dedup_keys_are_the_same_for_every_input(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for a in rng.integers(-(1 << 63), 1 << 63, 300):
+        bits = sum(1 << int(k) for k in rng.choice(64, 3, replace=False))
+        rows.append((int(a), int(np.int64(a) ^ np.uint64(bits).astype(np.int64))))
+    pairs = spark.createDataFrame(rows, "a long, b long")
+    assert pairs.filter(F.arrays_overlap(linededup._keys(F.col("a")), linededup._keys(F.col("b")))).count() == 300
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(20))), (2, "one two three four five six")], "doc_id long, text string")
+    lines = linededup.distinct_lines(linededup.line_table(docs))
+    seen = []
+    monkeypatch.setattr(linededup, "_buckets", lambda lines, keys, threshold: seen.append(keys) or lines.select(F.lit(0).alias("key")))
+    linededup._members(lines, 0.8)
+    monkeypatch.setattr(type(lines), "count", lambda self: 1 << 40)
+    linededup._members(lines, 0.8)
+    few, many = ([r[0] for r in lines.select(F.to_json(k)).collect()] for k in (seen[0], seen[2]))
+    assert few == many
+
+
 def test_decontamination_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

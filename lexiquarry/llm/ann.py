@@ -6,7 +6,8 @@ two dimensions. Codebooks and codes minimise the score-aware loss of Guo et al.
 (2020): the part of the residual that is parallel to the vector changes large
 inner products, so it weighs ``ETA`` times as much as the part across it.
 
-A query scans the code tables of the partitions that promise most: a lookup
+A query scans the code tables of all partitions, whatever their number, as vectors
+without clear clusters have neighbours in any of them: a lookup
 table holds its inner product with each of the sixteen codewords of a subspace.
 The best candidates of each scan, ties included, are scored exactly on the
 original vectors in double precision; so is every other row that the scan's
@@ -15,7 +16,7 @@ error, as measured on those, may have kept from the answer.
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE_ROWS``); every
 row is indexed. Queries and rows meet by partition: no side is broadcast and no
 partition is gathered whole, as a partition is cut into pieces of at most
-``PIECE_ROWS`` rows and its queries go to each piece.
+``PIECE_ROWS`` rows and the queries go to each piece, in slices of about ``SLICE_ROWS``.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, and neither do those of another dimension than the
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.common import staged
 
 SAMPLE_ROWS = 20_000
-#: Rows that a coarse partition has on average, the share of partitions that a query visits, and how many at least.
-PARTITION_ROWS, PROBE_SHARE, LEAST_PROBES = 1_000, 0.25, 12
-PIECE_ROWS = 4_096
+#: Rows that a coarse partition has on average. Each query gets answers from each, so that larger ones mean fewer rows to rank.
+PARTITION_ROWS = 4_000
+PIECE_ROWS, SLICE_ROWS = 8_192, 8_192
 SUB, CODES, ETA = 2, 16, 4.0
 #: Candidates of each scan that are scored exactly, in multiples of the answers asked for.
 RERANK = 5
@@ -205,7 +206,7 @@ def _search_piece(model: Quantiser, part: int, ids: np.ndarray, codes: np.ndarra
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = SAMPLE_ROWS, probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows of each query, its own id aside.
 
     ``is_query`` is a condition on the column ``vec_id``.
@@ -222,7 +223,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     held = np.vstack([_matrix(c, dim) for c in sample.column("v").chunks])
     partitions = max(1, min(len(held) // 8, math.ceil(count / PARTITION_ROWS)))
     model = Quantiser.fit(held, partitions)
-    probes = min(partitions, max(LEAST_PROBES, math.ceil(probe_share * partitions)))
     shared = spark.sparkContext.broadcast(model)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +234,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 codes = packed(shared.value.encode(x, own))
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "part", "code"])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                cut = b.slice(lo, 1024)
-                q = _matrix(cut.column(1), dim).astype(np.float32)
-                to = np.argsort(-(q @ shared.value.centres.T), axis=1, kind="stable")[:, :probes]
-                taken = pa.array(np.repeat(np.arange(cut.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([cut.column(0).take(taken), cut.column(1).take(taken), pa.array(to.ravel().astype(np.int32))], ["query_id", "q", "part"])
-
     indexed = staged(rows.mapInArrow(index, "vec_id long, v array<float>, part int, code binary"), "index")
     loads = indexed.groupBy("part").count().select("part", F.ceil(F.col("count") / PIECE_ROWS).cast("int").alias("pieces"))  # one row per partition
-    coded = indexed.join(F.broadcast(loads), "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"), "vec_id", "v", "code")
-    asked = rows.filter(is_query).mapInArrow(route, "query_id long, q array<float>, part int")
-    asked = asked.join(F.broadcast(loads), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "query_id", "q")
+    queries = rows.filter(is_query)
+    slices = max(1, math.ceil(queries.count() / SLICE_ROWS))
+    coded = indexed.join(F.broadcast(loads), "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "vec_id", "v", "code")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"))
+    asked = asked.crossJoin(F.broadcast(loads)).select(F.col("part").alias("part"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "slice", "query_id", "q")
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -256,7 +249,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         own = np.stack(left["v"].to_numpy()).astype(np.float64)
         return _search_piece(shared.value, int(key[0]), left["vec_id"].to_numpy(), codes, own, right["query_id"].to_numpy(), np.stack(right["q"].to_numpy()).astype(np.float64), k)
 
-    found = coded.groupBy("part", "piece").cogroup(asked.groupBy("part", "piece")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = coded.groupBy("part", "piece", "slice").cogroup(asked.groupBy("part", "piece", "slice")).applyInPandas(meet, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

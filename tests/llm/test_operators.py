@@ -5,10 +5,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import extract, linededup, mixing, queries, simhash, substring
+from lexiquarry.llm import ann, extract, linededup, mixing, queries, simhash, substring
 
 SCHEMA = "doc_id long, text string, source string"
 ODD = [(1, None, None), (2, "", "a"), (3, "one two three four five six", "a"), (4, "one two three four five six", "a"), (5, "x" * 5000 + " tail", None)]
@@ -122,6 +123,24 @@ def test_neighbours_recall(spark, sf_dir):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_recall_over_many_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(len(x))
+    frame = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}))
+    monkeypatch.setattr(ann, "SLICE_ROWS", 30, raising=False)
+    found = {}
+    for r in ann.search(frame, F.col("vec_id") % 400 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    wide, hit = x.astype(float), 0
+    for i in ids[::400]:
+        got = sorted(found[i])
+        assert [r for r, _, _ in got] == list(range(1, 21))
+        hit += len({v for _, v, _ in got} & {v for v, _ in ann.exact(wide, ids, wide[i], i, 20)})
+    assert len(found) == 100 and hit >= 0.97 * 2000
+
+
 @pytest.mark.parametrize("name, label, mod, held", [("op8_quality", "quality", 5, 0), ("op9_toxicity", "toxic", 3, 1)])
 def test_held_out_accuracy(spark, name, label, mod, held):
     sf_dir = os.environ.get("TEST_LABEL_DIR", "/root/testdata/sf0.01")

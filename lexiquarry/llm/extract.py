@@ -25,7 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "select", "audio", "video", "canvas", "math", "head")
+#: Elements that are skipped with their content: to their end tag or the page's end as HTML leaves them open, or only if they have an end tag.
+RAW = ("script", "style", "textarea", "title", "iframe", "template")
+HELD = ("noscript", "svg", "object", "select", "audio", "video", "canvas", "math")
+#: What a head can hold, besides elements that are skipped; any other start tag ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | frozenset("html body main article section nav aside header footer div p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address form fieldset legend hr details summary dialog center menu hgroup search noframes".split())
 #: Elements that hold no article text, wherever they are.
@@ -36,7 +40,7 @@ BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsen
 GOOD_NAMES = frozenset("article articlebody content contents main maincontent post posttext entry story body text page-content markdown prose".split())
 NAME = re.compile(r"[A-Za-z]+")
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?=[\s/>])(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:\s+|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|[^\s\"'>/=]+|\"[^\"]*\"|'[^']*')*+/>|<(?P<raw>" + "|".join(RAW) + r")\b(?=[\s/>])(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<held>" + "|".join(HELD) + r")\b(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=held)\s*>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|\Z)", re.I)
@@ -260,7 +264,7 @@ def blocks(page: str) -> list[tuple[str, int, float, Context, bool]]:
         done = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"] and m["raw"].lower() == "select":
+            if m["held"] and m["held"].lower() == "select":
                 flush()
             continue
         name = name.lower()
@@ -275,6 +279,8 @@ def blocks(page: str) -> list[tuple[str, int, float, Context, bool]]:
                 if name in BLOCKS:
                     flush()
             continue
+        if stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
         if name == "br":
             text(" ")
             continue

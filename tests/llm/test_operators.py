@@ -170,6 +170,23 @@ def test_extract_keeps_the_article():
     assert extract.main_text(None) == "" == extract.main_text("")
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head hidden><title>t</title><meta charset=utf-8><body><p>one</p><p>two</p>", ["one", "two"]),
+        ("<head><script>x</script><style>y</style><p>one</p>", ["one"]),
+        ("<head><title>t</title><link href=x></head><body><p>one</p></body>", ["one"]),
+        ('<p>one</p><p><svg width="1"/>two</p><p>three</p>', ["one", "two", "three"]),
+        ("<p>one <math/>two</p><svg viewBox='0 0 1 1' /><p>three</p><svg><text>no</text></svg>", ["one two", "three"]),
+        ("<p>one<svg href=a/>no</svg></p><p>two<svg><path d='m'/>no</svg></p>", ["one", "two"]),
+        ("<p>one</p><div><video src=x></div><p>two</p>", ["one", "two"]),
+        ("<p>one</p><script>no <p>no</p>", ["one"]),
+    ],
+)
+def test_extract_skips_no_more_than_html_does(page, want):
+    assert [b[0] for b in extract.blocks(page)] == want
+
+
 def test_odd_and_empty_rows(spark):
     odd, none = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([], SCHEMA)
     groups = {r.doc_id: r.component_id for r in simhash.components(odd).collect()}

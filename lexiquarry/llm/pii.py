@@ -8,9 +8,11 @@ lower case, no title), and the distinct values get surrogates from a keyed hash:
 - equal values get equal surrogates everywhere (coreference), also where their
   format differs: a number is written into the digits of each mention, a
   surname stands for the same person with and without the given name;
+- a name that a form of address has shown is replaced in the rest of its document too,
+  where it stands as a whole word in the same case;
 - digits become digits, letters letters of their case, hex stays hex, cards keep
   their first digit and whether they pass the Luhn test, addresses go to reserved
-  ranges and domains, names keep gender (by form of address) and script;
+  ranges and domains, names keep gender (by form of address) and script (not Han: such names aren't found);
 - surrogates are checked for collisions, with each other and with real values,
   and drawn again until there are none (distinctness).
 
@@ -39,8 +41,8 @@ EMAIL = r"[A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/=-]{8,}"
 ACCESS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp|gho|sk|pk)_[A-Za-z0-9_]{16,}\b|\b[0-9a-f]{32,128}\b"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
-CARD = r"(?<![\d-])(?:\d{4}[ -]){3}\d{1,7}(?![\d-])|(?<!\d)\d{13,19}(?!\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+CARD = r"(?<![\d-])(?:\d{4}[ -]){3}\d{1,7}(?![\d-])|(?<![\d-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])|(?<!\d)\d{13,19}(?!\d)"
+PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 ANY = "|".join((EMAIL, SECRET, ACCESS, IP, CARD, PHONE, PERSON))
 #: A text without any of these holds no mention: a cheap test before the patterns are tried.
 HINT = rf"[0-9@]|(?:{FEMALE}|{MALE}|{NEUTRAL})\.?[ \u00A0]\p{{Lu}}|(?i:password|passwd|pwd|token|secret|key|auth)\s*[=:]"
@@ -197,6 +199,11 @@ def _shown(kind: Column, shown: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card"), filled).when(kind.startswith("given") | kind.startswith("surname"), named).otherwise(surrogate)
 
 
+def _word(name: Column) -> Column:
+    """A pattern of the name as a whole word."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}])"))
+
+
 def replace(documents: DataFrame, key: str = "lexiquarry", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with surrogates in ``text``, and ``n_mentions``: how many were replaced."""
     body = F.col(f"`{text}`")
@@ -209,12 +216,16 @@ def replace(documents: DataFrame, key: str = "lexiquarry", doc_id: str = "doc_id
     chosen = surrogates(split.select(F.col("real").alias("kind"), "value"), key).withColumnRenamed("kind", "real")
     listed, _ = small(chosen, BROADCAST_ROWS)
     ending = F.when((F.col("kind") == "surname_a") & F.col("surrogate").rlike("(?:ов|ев|ин)$"), F.concat("surrogate", F.lit("а"))).otherwise(F.col("surrogate"))
-    shown = split.join(listed, ["real", "value"]).select("k1", "k2", "place", "part", F.concat("prefix", _shown(F.col("kind"), F.col("shown"), ending)).alias("new"))
-    whole = shown.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "part", "new"))).alias("__new"))
-    whole = staged(whole.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new"), "replacements")
+    own = split.join(listed, ["real", "value"]).withColumn("own", _shown(F.col("kind"), F.col("shown"), ending))
+    name = F.when(F.col("kind").startswith("given") | F.col("kind").startswith("surname"), F.struct("shown", "own"))
+    shown = own.select("k1", "k2", "place", "part", F.concat("prefix", "own").alias("new"), name.alias("name"))
+    whole = shown.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "part", "new"))).alias("__new"), F.sort_array(F.collect_set("name")).alias("names"))
+    names = F.filter("names", lambda n, i: (i == 0) | (F.get("names", i - 1)["shown"] != n["shown"]))
+    whole = staged(whole.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new", names.alias("__names")), "replacements")
     keyed = documents.withColumns({"__h1": F.when(body.rlike(HINT), h1), "__h2": h2})
     joined = keyed.join(small(whole, BROADCAST_ROWS)[0], (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
-    between = F.transform(F.split(body, ANY), lambda s, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.array_join(F.transform(F.filter("__new", lambda n: n["place"] == i - 1), lambda n: n["new"]), "")), s))
+    between = F.transform(F.split(body, ANY), lambda s, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.array_join(F.transform(F.filter("__new", lambda n: n["place"] == i - 1), lambda n: n["new"]), "")), F.aggregate("__names", s, lambda a, n: F.regexp_replace(a, _word(n["shown"]), n["own"]))))
     out = F.when(F.col("__new").isNull(), body).otherwise(F.array_join(between, ""))
-    count = F.coalesce(F.size(F.array_distinct(F.transform("__new", lambda n: n["place"]))), F.lit(0))
+    bare = F.when(F.size("__names") > 0, F.aggregate(F.split(body, ANY), F.lit(0), lambda c, s: c + F.aggregate("__names", F.lit(0), lambda a, n: a + F.regexp_count(s, _word(n["shown"])))))
+    count = F.coalesce(F.size(F.array_distinct(F.transform("__new", lambda n: n["place"]))) + F.coalesce(bare, F.lit(0)), F.lit(0))
     return joined.select(*(out.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns), count.alias("n_mentions"))

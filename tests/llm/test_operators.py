@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import ann, extract, linededup, mixing, queries, simhash, substring
+from lexiquarry.llm import ann, extract, linededup, mixing, pii, queries, simhash, substring
 
 SCHEMA = "doc_id long, text string, source string"
 ODD = [(1, None, None), (2, "", "a"), (3, "one two three four five six", "a"), (4, "one two three four five six", "a"), (5, "x" * 5000 + " tail", None)]
@@ -187,6 +187,20 @@ def test_extract_skips_no_more_than_html_does(page, want):
     assert [b[0] for b in extract.blocks(page)] == want
 
 
+def test_personal_data_is_replaced_wherever_it_stands(spark):
+    docs = spark.createDataFrame(
+        [(1, "Mrs Anna Smith came. Smith's car, Smithson, then Anna left; call 555 123 4567."), (2, "Card 3782 822463 10005 of Mr Smith."), (3, "Smith alone stays"), (4, None)],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: (r.text, r.n_mentions) for r in pii.replace(docs).collect()}
+    text, n = got[1]
+    given, surname = text.split()[1], text.split()[2]
+    assert n == 4 and "555 123 4567" not in text and "Smith" not in (given, surname)
+    assert text.startswith(f"Mrs {given} {surname} came. {surname}'s car, Smithson, then {given} left; call ")
+    assert got[2][1] == 2 and "3782 822463 10005" not in got[2][0] and got[2][0].endswith(f" of Mr {surname}.")
+    assert got[3] == ("Smith alone stays", 0) and got[4] == (None, 0)
+
+
 def test_odd_and_empty_rows(spark):
     odd, none = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([], SCHEMA)
     groups = {r.doc_id: r.component_id for r in simhash.components(odd).collect()}

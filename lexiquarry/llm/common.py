@@ -16,6 +16,9 @@ SPACE = r"\x20\x09-\x0D"
 #: ASCII characters that are neither letters nor digits.
 NON_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
+#: Bytes up to which a table is broadcast, after they are measured.
+BROADCAST_BYTES = 4 << 20
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -26,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may leave it unset, as tests do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: staged tables need a folder that all executors share")
         folder = "/tmp/checkpoints/lexiquarry"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
@@ -100,10 +105,22 @@ def two_hashes(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)]
 
 
-def small(frame: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """The frame with a broadcast hint if a count shows it within ``rows``.
+def _width(frame: DataFrame) -> Column:
+    """A row's bytes, roughly: eight for each plain column, the length of what is longer."""
+    sizes = F.lit(8 * len(frame.columns))
+    for name, kind in frame.dtypes:
+        own = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            sizes = sizes + F.coalesce(F.octet_length(own), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            sizes = sizes + F.coalesce(F.octet_length(F.to_json(F.struct(own))), F.lit(0))
+    return sizes.cast("long")
+
+
+def small(frame: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The frame with a broadcast hint if its rows, as measured, take at most ``most`` bytes.
 
     Otherwise the frame as it is: the join then shuffles both sides.
     """
-    fits = frame.limit(rows + 1).count() <= rows
+    fits = (frame.agg(F.sum(_width(frame))).first()[0] or 0) <= most
     return (F.broadcast(frame) if fits else frame), fits

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import NON_WORD, ascii_lower, pieces, small, staged, two_hashes
 
-#: Rows up to which benchmark-derived tables are broadcast, after a count.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which benchmark-derived tables are broadcast, after they are measured.
+BROADCAST_BYTES = 32 << 20
 #: Marks the end of a document in the exploded words; no word is empty.
 END = ""
 
@@ -49,7 +49,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataF
 def _anchors(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(win, size, rare, rare_at, second, second_at): each window's two rarest terms by corpus count."""
     terms = windows.select(F.explode("words").alias("term")).distinct()
-    listed, _ = small(terms, BROADCAST_ROWS)
+    listed, _ = small(terms, BROADCAST_BYTES)
     stream = docs.select(F.explode(word_array(F.col("text"))).alias("term"))
     counts = terms.join(stream.join(listed, "term").groupBy("term").count(), "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
     placed = windows.select("win", "size", F.posexplode("words").alias("at", "term")).join(counts, "term")
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     ``terms`` is (term, term_id). A posting is term_id * 2^32 + position, so a
     document's sorted array is its part of the inverted index.
     """
-    listed, _ = small(terms.unionByName(terms.sparkSession.createDataFrame([(END, -1)], "term string, term_id long")), BROADCAST_ROWS)
+    listed, _ = small(terms.unionByName(terms.sparkSession.createDataFrame([(END, -1)], "term string, term_id long")), BROADCAST_BYTES)
     stream = docs.select("k1", "k2", "doc_id", F.posexplode(F.array_append(word_array(F.col("text")), END)).alias("at", "term"))
     found = stream.join(listed, "term")
     ended = F.col("term_id") == -1
@@ -85,7 +85,7 @@ def _matches(index: DataFrame, anchors: DataFrame, ids: DataFrame) -> DataFrame:
     rare = ids.select(F.col("term").alias("rare"), F.col("term_id").alias("rare_id"))
     second = ids.select(F.col("term").alias("second"), F.col("term_id").alias("second_id"))
     looked = anchors.join(rare, "rare").join(second, "second", "left").select("win", "size", "rare_id", "rare_at", "second_id", "second_at")
-    looked, _ = small(looked, BROADCAST_ROWS)
+    looked, _ = small(looked, BROADCAST_BYTES)
     lists = index.filter(F.size("postings") > 0).select("k1", "k2", "n_words", "postings", F.explode("postings").alias("posting"))
     lists = lists.withColumn("rare_id", F.shiftright("posting", 32))
     start = F.col("posting").bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("rare_at")
@@ -102,7 +102,7 @@ def occurrences(documents: DataFrame, items: DataFrame, width: int = 8, doc_id:
     ids = staged(terms.select("term", F.abs(F.xxhash64("term") % (1 << 30)).alias("term_id")), "terms")
     index = staged(build_index(docs, ids), "postings")
     survivors = _matches(index, anchors, ids)
-    listed, _ = small(windows, BROADCAST_ROWS)
+    listed, _ = small(windows, BROADCAST_BYTES)
     wanted = survivors.groupBy("k1", "k2").agg(F.collect_list(F.struct("win", F.col("at").cast("int").alias("at"))).alias("starts"))
     read = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", word_array(F.col("text")).alias("w"), "starts")
     each = read.select("k1", "k2", "w", F.explode("starts").alias("s")).select("k1", "k2", "w", "s.win", "s.at")
@@ -123,7 +123,7 @@ def proximity(documents: DataFrame, items: DataFrame, span: int, width: int = 8,
     index = build_index(docs, ids)
     rare = ids.select(F.col("term").alias("rare"), F.col("term_id").alias("rare_id"))
     second = ids.select(F.col("term").alias("second"), F.col("term_id").alias("second_id"))
-    looked, _ = small(anchors.join(rare, "rare").join(second, "second", "left").select("win", "rare_id", "second_id"), BROADCAST_ROWS)
+    looked, _ = small(anchors.join(rare, "rare").join(second, "second", "left").select("win", "rare_id", "second_id"), BROADCAST_BYTES)
     lists = index.filter(F.size("postings") > 0).select("doc_id", "postings", F.explode("postings").alias("posting")).withColumn("rare_id", F.shiftright("posting", 32))
     low = F.col("posting").bitwiseAND(F.lit(0xFFFFFFFF))
     near = F.exists("postings", lambda p: (F.shiftright(p, 32) == F.col("second_id")) & (p != F.col("posting")) & (F.abs(p.bitwiseAND(F.lit(0xFFFFFFFF)) - low) <= span))
@@ -131,13 +131,14 @@ def proximity(documents: DataFrame, items: DataFrame, span: int, width: int = 8,
     return hit.select("doc_id", "win", low.alias("at")).join(windows.select("win", F.explode("items").alias("item")), "win").select("doc_id", "item", "at").distinct()
 
 
-def keep(documents: DataFrame, items: DataFrame, width: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def keep(documents: DataFrame, items: DataFrame, width: int = 8, min_items: int = 1, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``documents`` that hold windows of fewer than ``min_items`` items, columns as they are."""
     _, exact = occurrences(documents, items, width, doc_id, text, item_id, item_text)
     found = exact.groupBy("k1", "k2").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n"))
-    bad, _ = small(staged(found.filter(F.col("n") >= min_items).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "leaks"), BROADCAST_ROWS)
-    h1, h2 = two_hashes(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
-    return documents.join(bad, (h1 == F.col("__k1")) & (h2 == F.col("__k2")), "left_anti")
+    bad, _ = small(staged(found.filter(F.col("n") >= min_items).select("k1", "k2"), "leaks"))
+    keys = two_hashes(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns))).alias("row"), *(h.alias(k) for h, k in zip(keys, ("k1", "k2"))))
+    return rows.join(bad, ["k1", "k2"], "left_anti").select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns)))
 
 
 def contamination(documents: DataFrame, items: DataFrame, width: int = 8, min_items: int = 2, **names: str) -> DataFrame:

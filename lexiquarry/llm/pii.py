@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import small, staged, two_hashes
 
-BROADCAST_ROWS = 200_000
 MAX_ROUNDS = 30
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|госпожа|г-жа|Κυρία|κυρία|女士"
 MALE = "Mr|Herr|Herrn|Monsieur|Señor|господин|г-н|Κύριος|κύριος|先生"
@@ -214,7 +213,7 @@ def replace(documents: DataFrame, key: str = "lexiquarry", doc_id: str = "doc_id
     split = each.select("k1", "k2", "place", F.posexplode(parts(F.col("mention"))).alias("part", "p")).select("k1", "k2", "place", "part", "p.*")
     split = staged(split.withColumn("real", F.regexp_replace("kind", "^surname_a$", "surname")), "mentions")
     chosen = surrogates(split.select(F.col("real").alias("kind"), "value"), key).withColumnRenamed("kind", "real")
-    listed, _ = small(chosen, BROADCAST_ROWS)
+    listed, _ = small(chosen)
     ending = F.when((F.col("kind") == "surname_a") & F.col("surrogate").rlike("(?:ов|ев|ин)$"), F.concat("surrogate", F.lit("а"))).otherwise(F.col("surrogate"))
     own = split.join(listed, ["real", "value"]).withColumn("own", _shown(F.col("kind"), F.col("shown"), ending))
     name = F.when(F.col("kind").startswith("given") | F.col("kind").startswith("surname"), F.struct("shown", "own"))
@@ -223,7 +222,7 @@ def replace(documents: DataFrame, key: str = "lexiquarry", doc_id: str = "doc_id
     names = F.filter("names", lambda n, i: (i == 0) | (F.get("names", i - 1)["shown"] != n["shown"]))
     whole = staged(whole.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new", names.alias("__names")), "replacements")
     keyed = documents.withColumns({"__h1": F.when(body.rlike(HINT), h1), "__h2": h2})
-    joined = keyed.join(small(whole, BROADCAST_ROWS)[0], (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
+    joined = keyed.join(small(whole)[0], (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
     between = F.transform(F.split(body, ANY), lambda s, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.array_join(F.transform(F.filter("__new", lambda n: n["place"] == i - 1), lambda n: n["new"]), "")), F.aggregate("__names", s, lambda a, n: F.regexp_replace(a, _word(n["shown"]), n["own"]))))
     out = F.when(F.col("__new").isNull(), body).otherwise(F.array_join(between, ""))
     bare = F.when(F.size("__names") > 0, F.aggregate(F.split(body, ANY), F.lit(0), lambda c, s: c + F.aggregate("__names", F.lit(0), lambda a, n: a + F.regexp_count(s, _word(n["shown"])))))

@@ -22,7 +22,8 @@ Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, and neither do those of another dimension than the
 sample's most frequent one; ids that are null take no part; rows that repeat an
 id each count; ties in score go to the smaller id; fewer candidates than asked
-for are all returned.
+for are all returned; the empty table gives an empty one; columns but the id and the
+vector aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -212,7 +213,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     ``is_query`` is a condition on the column ``vec_id``.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"  # no digit is lost
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
@@ -234,7 +236,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 codes = packed(shared.value.encode(x, own))
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "part", "code"])
 
-    indexed = staged(rows.mapInArrow(index, "vec_id long, v array<float>, part int, code binary"), "index")
+    indexed = staged(rows.mapInArrow(index, f"vec_id long, v {kind}, part int, code binary"), "index")
     loads = indexed.groupBy("part").count().select("part", F.ceil(F.col("count") / PIECE_ROWS).cast("int").alias("pieces"))  # one row per partition
     queries = rows.filter(is_query)
     slices = max(1, math.ceil(queries.count() / SLICE_ROWS))

@@ -16,8 +16,9 @@ sorted in one place. What the threshold leaves over is filled with the largest
 documents that still fit.
 
 Defined cases: a null or wordless text has size zero and is taken zero times;
-null is a source of its own, last in order; a source of size zero has target
-zero; repeated rows are told apart by a seeded rank among themselves only as far
+null is a source of its own, last in order, and that of an array that is null or empty;
+a source of size zero has target zero; very long texts count whole; ties go by hash;
+other columns are carried on by ``select``, whatever their names; repeated rows are told apart by a seeded rank among themselves only as far
 as their hash goes, and rows that agree in everything are taken together or left
 together; the empty table gives an empty result.
 """
@@ -176,24 +177,27 @@ def _fill(rows: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def _decorated(documents: DataFrame, seed: int, doc_id: str, text: str, source: str) -> DataFrame:
-    """``documents`` with its pattern, size and hash, under names that clash with none of its own."""
-    member = F.col(f"`{source}`") if dict(documents.dtypes)[source].startswith("array") else F.array(F.col(f"`{source}`"))
+    """(row, pattern, size, hash): ``documents`` as structs of columns c0, c1, ..., so that no name clashes."""
+    own = F.col(f"`{source}`")
+    nothing = F.array(F.lit(None).cast("string"))
+    several = dict(documents.dtypes)[source].startswith("array")
+    member = F.when(F.size(own) > 0, own.cast("array<string>")).otherwise(nothing) if several else F.array(own.cast("string"))
     salt = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("-"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hashed = F.xxhash64(F.lit(seed), salt, body).bitwiseAND(F.lit((1 << 63) - 1))
-    return documents.withColumns({"__mix_pattern": F.to_json(F.array_sort(F.array_distinct(member))), "__mix_size": word_count(body), "__mix_hash": hashed})
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    return documents.select(row.alias("row"), F.to_json(F.array_sort(F.array_distinct(member))).alias("pattern"), word_count(body).alias("size"), hashed.alias("hash"))
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, size, copies, source_size, target) per input row.
+def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """(row, size, copies, source_size, target) per input row; row holds id, and with ``carry`` all columns as c0, c1, ...
 
     ``source`` is a string column, or an array of strings where a document
     belongs to several sources: ``source_size`` and ``target`` are then sums over
     its sources. Weights go round the sources in code-point order, null last.
     """
     marked = _decorated(documents, seed, doc_id, text, source)
-    own = [F.col("__mix_pattern").alias("pattern"), F.col("__mix_size").alias("size"), F.col("__mix_hash").alias("hash")]
-    rows = staged(marked.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *own), "sizes")
+    rows = staged(marked.select(F.struct("row.id").alias("row"), "pattern", "size", "hash"), "sizes")
     spark = documents.sparkSession
     totals = rows.groupBy("pattern").agg(F.sum("size").alias("size")).withColumn("members", F.from_json("pattern", "array<string>"))
     known = totals.limit(MAX_PATTERNS + 1).collect()
@@ -210,22 +214,18 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     planned = spark.createDataFrame(plan, "pattern string, whole long, need long, source_size long, target double")
     drawn = staged(_draw(rows, planned.select("pattern", "need")), "drawn")
     chosen = _fill(rows, drawn)
-    base = rows.select(F.struct("doc_id").alias("row"), "pattern", "size", "hash")
-    if carry:
-        kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
-        base = marked.select(F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *kept).alias("row"), *own)
+    base = marked if carry else rows
     full = base.join(F.broadcast(planned), "pattern").join(F.broadcast(drawn.select("pattern", "cut")), "pattern").join(F.broadcast(chosen.withColumn("extra", F.lit(1))), ["pattern", "hash"], "left")
     more = (F.col("hash") < F.col("cut")) | F.col("extra").isNotNull()
-    carried = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)] if carry else [F.col("row.doc_id")]
-    return full.select(*carried, "size", (F.col("whole") + more.cast("long")).alias("copies"), "source_size", "target")
+    return full.select("row", "size", (F.col("whole") + more.cast("long")).alias("copies"), "source_size", "target")
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per input row."""
-    return mix(documents, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix(documents, **options).select(F.col("row.id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def select(documents: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with their columns and ``copies``, how often."""
-    mixed = mix(documents, carry=tuple(documents.columns), **options)
-    return mixed.filter((F.col("copies") > 0) & (F.col("size") > 0)).select(*(F.col(f"`{c}`") for c in documents.columns), "copies")
+    """The documents that the mix takes, with their columns and ``copies``, how often; ``copies`` replaces a column of that name."""
+    mixed = mix(documents, carry=True, **options).filter((F.col("copies") > 0) & (F.col("size") > 0))
+    return mixed.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns) if c != "copies"), "copies")

@@ -11,7 +11,11 @@ and the nearest vote with their similarity as weight.
 Defined cases: a null, empty or wordless text has no vector and gets the
 sample's share of label 1; rows of labels whose label or id is null, or that
 name no document, are ignored; a repeated label counts once, the larger value
-winning; without labelled rows every score is 0.5.
+winning; of differing texts that share an id one is learned from; without labelled rows
+every score is 0.5; ties among neighbours go to any of equal similarity, which changes no
+score but by rounding unless more tie than vote; whole texts are read, however long;
+repeated rows each get the same score; the empty table gives an empty one; ``keep``
+carries other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -134,26 +138,29 @@ def vote(model: dict, terms: list, voters: int = VOTERS) -> np.ndarray:
 
 
 def train(sample: DataFrame) -> dict | None:
-    """Term counts are made by the executors; the space is fitted on the bounded sample."""
+    """Term counts are made in parallel, the space is fitted in one task on the bounded sample; the driver gets the model alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Terms()
         for b in batches:
             found = [make(x.as_py()) or (np.zeros(0, np.int64), np.zeros(0)) for x in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "label", "places", "counts"])
 
-    got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, places array<int>, counts array<float>").toArrow()
-    rows = {}
-    for d, y, p, c in zip(*(got.column(c) for c in ("doc_id", "label", "places", "counts"))):
-        p, c = np.array(p.values), np.array(c.values)
-        if len(p):
-            key = d.as_py()
-            rows[key] = max((p.tobytes(), c.tobytes(), y.as_py()), rows.get(key, (b"", b"", 0)))
-    if not rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.array(x.values) for x in b.column(2)), (np.array(x.values) for x in b.column(3))) if len(row[2])]
+        if not held:
+            return
+        held.sort(key=lambda row: row[0])
+        model = fit([(p.astype(np.int64), c.astype(np.float64)) for _, _, p, c in held], np.array([y for _, y, _, _ in held]))
+        parts = {k: np.atleast_1d(np.asarray(v)) for k, v in model.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts)), pa.array([list(v.shape) for v in parts.values()], pa.list_(pa.int64())), pa.array([v.astype(np.float64).tobytes() for v in parts.values()], pa.binary())], ["name", "shape", "data"])
+
+    terms = sample.select("doc_id", "text", "label").mapInArrow(count, "doc_id long, label int, places array<int>, counts array<float>")
+    got = terms.repartition(1).mapInArrow(run, "name string, shape array<long>, data binary").toArrow().to_pylist()
+    model = {r["name"]: np.frombuffer(r["data"]).reshape(r["shape"]) for r in got}
+    if not model:
         return None
-    kept = [rows[d] for d in sorted(rows)]
-    terms = [(np.frombuffer(p, np.int32).astype(np.int64), np.frombuffer(c, np.float32).astype(np.float64)) for p, c, _ in kept]
-    return fit(terms, np.array([y for _, _, y in kept]))
+    return {"idf": model["idf"], "basis": model["basis"].astype(np.float32), "vectors": model["vectors"].astype(np.float32), "labels": model["labels"], "prior": float(model["prior"][0])}
 
 
 def score(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held: int = 0, threshold: float = 0.3, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

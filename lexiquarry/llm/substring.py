@@ -8,12 +8,15 @@ Chunks are deduplicated by a 96-bit digest; a run of chunks that occurred before
 
 A digest that one task meets again is marked as repeated on the spot and dealt
 out at random, so even a passage in a third of all documents sends each task a
-few rows only. Each chunk is shuffled once; digests are aggregated, never
-gathered.
-
-Defined cases: a null text counts as empty and gives an empty text; ids are
-taken to be unique, and equal rows get equal results; rows without an id are
-returned whole and their passages don't count; cuts never split a character.
+few rows only. Texts are chunked once and each chunk is shuffled once: the chunks of
+a digest are ranked by their places where they are sorted, never gathered.
+
+Defined cases: a null text counts as empty and gives an empty text; equal rows get
+equal results, as one document; rows that share an id but not the text are told apart
+by a hash of the text, which also orders them; ties can't occur, as places differ;
+rows without an id are returned whole and their passages don't count; very long texts
+are chunked whole; the empty table gives an empty one; columns but the id and the
+text aren't read, whatever their names; cuts never split a character.
 """
 
 from __future__ import annotations
@@ -22,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexiquarry.llm.common import staged
+from lexiquarry.llm.common import small, staged
 
 #: Bytes: the least and the greatest length of a chunk, and the mean gap between hash hits.
 LEAST, GREATEST, GAP = 12, 256, 20
@@ -71,51 +73,56 @@ def cuts(text: bytes, least: int = LEAST, greatest: int = GREATEST, gap: int = G
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d1, d2, doc_id, text_id, place) of the chunks of (doc_id, text_id, text).
+
+    place is start * 2^9 + size. A chunk that this task has seen at an earlier place has d2 = -1 and a random d1.
+    """
     from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-    seen: dict[int, tuple[int, int]] = {}
+    seen: dict[int, tuple[int, int, int]] = {}
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            d1, d2, ids, starts, sizes, sure = [], [], [], [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+            d1, d2, ids, own, places = [], [], [], [], []
+            for doc, version, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
                 at = 0
                 for end in cuts(text or b""):
                     digest = xxh3_128_intdigest(text[at:end])
                     first = seen.get(digest)
-                    again = first is not None and first < (doc, at)
-                    if not again:
+                    if first is not None and first < (doc, version, at):
+                        d1.append(xxh64_intdigest(b"%d %d %d" % (doc, version, at)))
+                        d2.append(-1)
+                    else:
                         if len(seen) >= KEPT_DIGESTS:
                             seen.clear()
-                        seen[digest] = (doc, at)
+                        seen[digest] = (doc, version, at)
                         d1.append(digest & 0xFFFFFFFFFFFFFFFF)
-                    else:
-                        d1.append(xxh64_intdigest(b"%d %d" % (doc, at)))
-                    d2.append((digest >> 64) & 0x7FFFFFFF)
+                        d2.append((digest >> 64) & 0x7FFFFFFF)
                     ids.append(doc)
-                    starts.append(at)
-                    sizes.append(end - at)
-                    sure.append(again)
+                    own.append(version)
+                    places.append(at << 9 | (end - at))
                     at = end
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(d2, pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int16()), pa.array(sure, pa.bool_())], ["d1", "d2", "doc_id", "start", "size", "sure"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(d2, pa.int32()), pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(places, pa.int64())], ["d1", "d2", "doc_id", "text_id", "place"])
+
+
+def _identified(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    body = F.col(f"`{text}`").cast("string")
+    return documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.hash(body).alias("text_id"), body.alias("text"))
 
 
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, repeated): for each document the (start, size) of chunks that occurred before."""
-    inner = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    chunks = inner.mapInArrow(_chunks, "d1 long, d2 int, doc_id long, start int, size short, sure boolean").repartition("d1")
-    firsts = chunks.filter("not sure").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("d1", "d2", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start"))
-    matched = chunks.join(firsts, ["d1", "d2"], "left")
-    again = matched.filter(F.col("sure") | (F.col("first_id") != F.col("doc_id")) | (F.col("first_start") != F.col("start")))
-    return again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("repeated"))
+    """(doc_id, text_id, repeated): for each document the places of chunks that occurred before."""
+    inner = _identified(documents, doc_id, text).filter("doc_id is not null")
+    chunks = inner.mapInArrow(_chunks, "d1 long, d2 int, doc_id long, text_id int, place long")
+    earlier = F.rank().over(Window.partitionBy("d1", "d2").orderBy("doc_id", "text_id", "place")) > 1
+    again = chunks.select("doc_id", "text_id", "place", (earlier | (F.col("d2") == -1)).alias("again")).filter("again")
+    return again.groupBy("doc_id", "text_id").agg(F.collect_set("place").alias("repeated"))
 
 
-def spans(repeated: list[tuple[int, int]], run: int = RUN) -> list[tuple[int, int]]:
-    """The (start, end) of runs of repeated chunks that are long enough."""
+def spans(repeated: list[int], run: int = RUN) -> list[tuple[int, int]]:
+    """The (start, end) of runs of repeated places that are long enough."""
     out: list[list[int]] = []
-    for start, size in sorted(set(repeated)):
+    for start, size in sorted((place >> 9, place & 511) for place in repeated):
         if out and out[-1][1] == start:
             out[-1][1] = start + size
         else:
@@ -126,8 +133,7 @@ def spans(repeated: list[tuple[int, int]], run: int = RUN) -> list[tuple[int, in
 def deduplicate(documents: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_bytes, cut_bytes, spans) per input row; spans are byte ranges of the input text."""
     found = staged(repeats(documents, doc_id, text), "repeats")
-    whole = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    joined = whole.join(found, "doc_id", "left")
+    joined = _identified(documents, doc_id, text).join(small(found)[0], ["doc_id", "text_id"], "left").select("doc_id", "text", "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +142,7 @@ def deduplicate(documents: DataFrame, run: int = RUN, doc_id: str = "doc_id", te
                 texts, sizes, gone, where = [], [], [], []
                 for body, listed in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
                     body = body or b""
-                    own = spans([(x["start"], x["size"]) for x in listed or []], run)
+                    own = spans(listed or [], run)
                     left, at = [], 0
                     for a, b in own:
                         left.append(body[at:a])

@@ -11,8 +11,10 @@ every whole text, in a single narrow pass.
 
 Defined cases: a null, empty or wordless text has only the bias; rows of labels
 whose label or id is null, or that name no document, are ignored; a repeated
-label counts once, the larger value winning; without labelled rows every score
-is 0.5.
+label counts once, the larger value winning; of differing texts that share an id one is
+learned from; without labelled rows every score is 0.5; whole texts are read, however
+long; repeated rows each get the same score; the empty table gives an empty one; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,21 +105,21 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, eligible: Column, doc_id: str = "doc_id", text: str = "text", seed: int = 3) -> DataFrame:
-    """(doc_id, text, label): at most ``rows`` labelled documents, by hash order of their ids."""
+    """(doc_id, text, label): at most ``rows`` labelled documents, by hash order of their ids; of texts that share an id the one of least hash."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(eligible).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
     chosen = staged(chosen, "chosen-labels")  # at most ``rows`` rows: small enough to broadcast
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    return sample.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def train(sample: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit in one task on (doc_id, text, label); only the weights reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(d, x, y) for b in batches for d, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")))]
-        got = sorted({d: (d, x, y) for d, x, y in sorted(got, key=lambda r: (r[0], r[1] or ""))}.values())
+        got = sorted((d, x or "", y) for b in batches for d, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
         if not got:
             return
         places, weights, bias = fit([x for _, x, _ in got], np.array([float(y) for _, _, y in got]), bits, epochs)

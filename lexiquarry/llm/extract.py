@@ -9,7 +9,9 @@ below, decides which blocks are kept.
 Defined cases: null or empty html gives the empty text; markup that is cut off
 in the middle of a tag loses that tag only; unclosed elements are closed where
 HTML closes them; text in scripts, styles, templates and hidden elements is
-never a block; pages are independent, so repeated rows give repeated results.
+never a block; pages are independent, so repeated rows give repeated results and ties
+can't occur; very long pages are read whole; columns are asked for by name, so others
+may have any; the empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ FURNITURE = frozenset("nav footer aside form button label fieldset legend dialog
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert warning comment comments commentlist disqus reply replies respond discussion sidebar side rail widget widgets menu nav navbar navigation navigator topbar breadcrumb breadcrumbs crumbs footer foot header masthead toolbar share sharing social follow related recommended recommendations recirc more trending popular newsletter subscribe subscription signup login signin register search form popup modal overlay dialog lightbox paywall pagination pager tags tagcloud copyright legal disclaimer skip hidden toc sitemap language feedback rating ratings poll author-bio".split())
 GOOD_NAMES = frozenset("article articlebody content contents main maincontent post posttext entry story body text page-content markdown prose".split())
+#: Names of others' remarks and pages: an article inside such an element is one of theirs.
+REMARKS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended recommendations recirc more trending popular promo sponsored".split())
+#: Words that make a name tell of a state or relation, not of the element itself.
+STATES = frozenset("with without has no is open closed enabled disabled on off show hide not".split())
 NAME = re.compile(r"[A-Za-z]+")
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:\s+|/(?!>)|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|[^\s\"'>/=]+|\"[^\"]*\"|'[^']*')*+/>|<(?P<raw>" + "|".join(RAW) + r")\b(?=[\s/>])(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<held>" + "|".join(HELD) + r")\b(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?</(?P=held)\s*>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)",
@@ -195,6 +201,16 @@ LABELLED = """
 19 body>article>p 62 2 1
 19 body>article>h2 3 3 1
 19 body>article>p 45 0 1
+20 body>div.site-menu>a 2 2 0
+20 body.comments-open>div.content-with-sidebar>article.post.comments-open>h1 6 0 1
+20 body.comments-open>div.content-with-sidebar>article.post.comments-open>p 38 1 1
+20 body.comments-open>div.content-with-sidebar>article.post.comments-open>p 4 0 1
+20 body.comments-open>div.content-with-sidebar>div.sidebar-left>p 21 2 0
+20 body.comments-open>div.comments-area>article.comment>p 19 0 0
+21 body>div.banner>main>h1 5 0 1
+21 body>div.banner>main>p 44 0 1
+21 body>div.banner>p 12 0 0
+21 body>div.related-posts>article>p 17 3 0
 """
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "page_article", "heading")
@@ -210,18 +226,31 @@ class Context:
 
 
 @lru_cache(maxsize=20_000)
-def _named(names: str) -> tuple[bool, bool]:
-    whole = names.lower().split()
-    words = {w for x in whole for w in NAME.findall(x)}
-    return bool(words & BAD_NAMES), bool((words | set(whole)) & GOOD_NAMES)
+def _named(names: str) -> tuple[int, bool]:
+    """How far class names and ids speak against their element (0, 1, or 2 for what stays so within), and whether for it.
+
+    A name counts as a whole or by its first or last word ("cookie-banner", "sidebar-left"). Names of
+    a state or a relation ("comments-open", "content-with-sidebar", "has-menu") say nothing against it.
+    """
+    bad, good = 0, False
+    for name in names.lower().split():
+        words = NAME.findall(name)
+        good = good or name in GOOD_NAMES or bool(words and words[-1] in GOOD_NAMES)
+        if name in BAD_NAMES or (words and not STATES & set(words) and {words[0], words[-1]} & BAD_NAMES):
+            bad = max(bad, 2 if set(words) & REMARKS else 1)
+    return bad, good
 
 
 def enter(above: Context, tag: str, names: str = "", role: str = "", hidden: bool = False) -> Context:
-    bad, good = _named(names) if names else (False, False)
-    article = above.article or tag in ("article", "main") or role in ("main", "article") or (good and not bad)
-    furniture = above.furniture or tag in FURNITURE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu") or (bad and tag not in ("html", "body", "main"))
-    furniture = furniture or (tag == "header" and not above.article)
-    return Context(int(furniture), int(article), above.hidden or hidden, above.link or tag == "a")
+    """The context within an element. ``main``, or an ``article`` that isn't named otherwise, clears what names
+    around it said; what elements said, or names of remarks and recommendations, stays."""
+    bad, good = _named(names) if names else (0, False)
+    named = 0 if tag in ("html", "body", "main") or (good and bad < 2) else bad
+    article = above.article or tag in ("article", "main") or role in ("main", "article") or (good and not named)
+    around = 0 if above.furniture == 1 and not named and (tag in ("article", "main") or role == "main") else above.furniture
+    of_element = tag in FURNITURE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu") or (tag == "header" and not above.article)
+    furniture = max(around, 2 if of_element else 0, named)
+    return Context(furniture, int(article), above.hidden or hidden, above.link or tag == "a")
 
 
 def blocks(page: str) -> list[tuple[str, int, float, Context, bool]]:
@@ -333,7 +362,7 @@ def rows_of(found: list[tuple[int, float, Context, bool]]) -> list[tuple[float,
     for i, (words, links, context, heading) in enumerate(found):
         wb, lb = found[i - 1][:2] if i else (0, 0.0)
         wa, la = found[i + 1][:2] if i + 1 < len(found) else (0, 0.0)
-        rows.append((words, links, wb, lb, wa, la, context.furniture, context.article, page_article, float(heading)))
+        rows.append((words, links, wb, lb, wa, la, min(context.furniture, 1), context.article, page_article, float(heading)))
     return rows
 
 

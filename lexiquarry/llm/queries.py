@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lexiquarry.llm import ann, decontaminate, extract, linededup, mixing, pii, quality, simhash, substring, toxicity
 from lexiquarry.llm.common import table
 
+#: The query's key where the session names none: test tables hold no real data. ``pii.replace`` itself has no default.
+DEMONSTRATION_KEY = "demonstration"
+
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"), page_id="page_id", url="url")
@@ -38,7 +41,8 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_mentions", "text")
+    key = spark.conf.get("spark.lexiquarry.surrogate.key", DEMONSTRATION_KEY)
+    return pii.replace(table(spark, sf_dir, "documents", "doc_id", "text"), key).select("doc_id", "n_mentions", "text")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from lexiquarry.functions import text
 from lexiquarry.functions.stops import STOP_WORDS
 from lexiquarry.operators.index import Index
 from lexiquarry.operators.ranking import bm25, hinted, top
+from lexiquarry.operators.staging import written
 
 WINDOW = 15
 
@@ -36,7 +37,7 @@ def intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted`` is (key, place, term).
     """
-    wanted = wanted.persist()
+    wanted = written(wanted, "wanted")
     need = wanted.groupBy("key").agg(F.countDistinct("place").alias("need"))
     rows = postings.join(hinted(wanted), "term").groupBy("key", "doc_id").agg(F.count("*").alias("have"), F.sort_array(F.collect_list(F.struct("place", "positions"))).alias("lists"))
     whole = rows.join(hinted(need), "key").filter("have = need")
@@ -87,15 +88,18 @@ def phrase_terms(phrases: DataFrame) -> DataFrame:
 
 def route(topics: DataFrame, phrase_index: Index, positional_index: Index, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(query_id, ord, phrase, route) of the routed phrases, and the hits per topic (query_id, hits)."""
-    asked = query_phrases(topics).persist()
-    known = asked.join(phrase_index.terms.select(F.col("term").alias("phrase")), "phrase", "left_semi").withColumn("route", F.lit("phrase"))
-    other = asked.join(phrase_index.terms.select(F.col("term").alias("phrase")), "phrase", "left_anti")
+    asked = query_phrases(topics)
+    listed = asked.select("phrase").distinct()
+    held = phrase_index.terms.select(F.col("term").alias("phrase")).join(hinted(listed), "phrase", "left_semi").withColumn("held", F.lit(True))
+    marked = written(asked.join(held, "phrase", "left"), "asked")
+    known = marked.filter("held").select("query_id", "ord", "phrase", F.lit("phrase").alias("route"))
+    other = marked.filter("held is null").select("query_id", "ord", "phrase")
     lists = intersection(positional_index.postings, phrase_terms(other))
-    hits = scanned(lists, window).groupBy(F.col("key").alias("phrase")).agg(F.count("*").alias("hits")).persist()  # a row a phrase
-    close = other.join(hinted(hits), "phrase").persist()
+    hits = written(scanned(lists, window).groupBy(F.col("key").alias("phrase")).agg(F.count("*").alias("hits")), "hits")  # a row a phrase
+    close = other.join(hinted(hits), "phrase")
     counts = close.groupBy("query_id").agg(F.sum("hits").alias("hits"))
-    routed = known.select("query_id", "ord", "phrase", "route").unionByName(close.select("query_id", "ord", "phrase", F.lit("positional").alias("route")))
-    return routed, counts
+    routed = known.unionByName(close.select("query_id", "ord", "phrase", F.lit("positional").alias("route")))
+    return written(routed, "routed"), written(counts, "counts")
 
 
 def fuse(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -112,15 +116,14 @@ def rank_dynamic(topics: DataFrame, phrase_index: Index, positional_index: Index
     routed, counts = route(topics, phrase_index, positional_index, window)
     if combine == "last":
         last = routed.groupBy("query_id").agg(F.max_by(F.struct("ord", "phrase", "route"), "ord").alias("r"))
-        routed = last.select("query_id", "r.ord", "r.phrase", "r.route").persist()
+        routed = written(last.select("query_id", "r.ord", "r.phrase", "r.route"), "last")
     by_phrase = routed.filter("route = 'phrase'").select("query_id", F.col("phrase").alias("term"), F.lit(1).alias("qtf")).distinct()
     by_terms = routed.filter("route = 'positional'").select("query_id", F.explode(F.split("phrase", " ")).alias("term")).distinct().withColumn("qtf", F.lit(1))
-    scores = bm25(phrase_index, by_phrase).unionByName(bm25(positional_index, by_terms)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")).persist()
+    both = bm25(phrase_index, written(by_phrase, "by-phrase")).unionByName(bm25(positional_index, written(by_terms, "by-terms")))
+    scores = written(both.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), "scores")
     sizes = scores.groupBy("query_id").agg(F.count("*").alias("n"))
     state = queries.select("query_id").distinct().join(sizes, "query_id", "left").join(counts, "query_id", "left")
-    weak = state.filter((F.coalesce("n", F.lit(0)) < k) | (F.coalesce("hits", F.lit(0)) == 0)).select("query_id").persist()
-    asked = queries.join(hinted(weak), "query_id", "left_semi").withColumn("qtf", F.lit(1)).persist()
-    single = bm25(single_index, asked)
+    weak = state.filter((F.coalesce("n", F.lit(0)) < k) | (F.coalesce("hits", F.lit(0)) == 0)).select("query_id")
+    asked = written(queries.join(weak, "query_id", "left_semi").withColumn("qtf", F.lit(1)), "weak")
+    single = written(bm25(single_index, asked), "single")
     return top(fuse(scores, single), k)
-
-

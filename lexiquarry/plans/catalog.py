@@ -157,9 +157,7 @@ def mean_average_precision(spark, d):
 
 def special_lines(spark, d):
     rows = index.line_rows(documents(spark, d))
-    more = spark.createDataFrame([(i, 0, x) for i, x in EXTRA_LINES], rows.schema)
-    plain = F.regexp_replace(F.regexp_replace("line", r"[^\P{L}\x00-\x7F]", "q"), r"[^\x00-\x7F§]", " ")
-    return rows.unionByName(more).select("doc_id", "line_no", plain.alias("line"))
+    return rows.unionByName(spark.createDataFrame([(i, 0, x) for i, x in EXTRA_LINES], rows.schema))
 
 
 def _special(name: str) -> Callable:
@@ -173,8 +171,8 @@ def _special(name: str) -> Callable:
 
 
 def single_index(spark, d):
-    marked = special.with_special(special_lines(spark, d).select("doc_id", text.decode_escapes(F.col("line")).alias("line")))
-    return index.counted(marked.select("doc_id", F.explode(F.concat("special", text.terms(F.col("rest")))).alias("term")).filter("term <> ''"))
+    rows = documents(spark, d)
+    return index.single_postings(rows.unionByName(spark.createDataFrame(EXTRA_LINES, rows.schema)))
 
 
 # Phrases and positions

@@ -42,8 +42,13 @@ def decoded(line: str) -> str:
     return f"CASE WHEN regexp_matches({line}, '&[a-z]+;') THEN {out} ELSE {line} END"
 
 
+def edged(pattern: str) -> str:
+    """The pattern with DuckDB's word edges, which look at ASCII alone, in place of lookarounds."""
+    return pattern.replace(special.BEFORE, r"\b").replace(special.AFTER, r"\b")
+
+
 def every(line: str, pattern: str) -> str:
-    return f"regexp_extract_all({line}, {lit(pattern)})"
+    return f"regexp_extract_all({line}, {lit(edged(pattern))})"
 
 
 POSTINGS = f"""
@@ -94,7 +99,7 @@ def measure(name: str) -> str:
 
 
 def _dates(line: str) -> str:
-    month = f"CASE WHEN regexp_matches(m, '^[A-Z]') THEN list_position({listed([special.MONTH_LINE[i : i + 3] for i in range(0, 36, 3)])}, lower(m[1:3])) ELSE try_cast(regexp_extract(m, '^(\\d+)', 1) AS INT) END"
+    month = f"CASE WHEN regexp_matches(m, '^[A-Z]') THEN list_position({listed(special.MONTH_NUMBERS)}, lower(m[1:3])) ELSE try_cast(regexp_extract(m, '^(\\d+)', 1) AS INT) END"
     day = "try_cast(CASE WHEN regexp_matches(m, '^[A-Z]') THEN regexp_extract(m, '\\s(\\d+),', 1) ELSE regexp_extract(m, '^\\d+[/-](\\d+)', 1) END AS INT)"
     year = "try_cast(CASE WHEN regexp_matches(m, '^[A-Z]') THEN regexp_extract(m, ',\\s(\\d+)$', 1) ELSE regexp_extract(m, '(\\d+)$', 1) END AS INT)"
     parts = f"list_transform({every(line, special.DATE)}, lambda m: {{'m': {month}, 'd': {day}, 'y': {year}}})"
@@ -130,13 +135,9 @@ FOUND = {
 }
 
 
-def ascii_only(column: str) -> str:
-    return f"regexp_replace(regexp_replace({column}, '[^\\P{{L}}\\x00-\\x7F]', 'q', 'g'), '[^\\x00-\\x7F§]', ' ', 'g')"
-
-
 def special_lines(extra: list[tuple[int, str]]) -> str:
     rows = ", ".join(f"({i}, 0, {lit(x)})" for i, x in extra)
-    return f"lines AS (SELECT doc_id, line_no, {ascii_only('line')} AS line FROM (SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, {lines('text')} AS l FROM documents) UNION ALL SELECT * FROM (VALUES {rows})))"
+    return f"lines AS (SELECT doc_id, line_no, line FROM (SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, {lines('text')} AS l FROM documents) UNION ALL SELECT * FROM (VALUES {rows})))"
 
 
 def special_found(name: str, extra: list[tuple[int, str]]) -> str:
@@ -146,7 +147,7 @@ def special_found(name: str, extra: list[tuple[int, str]]) -> str:
 def single_index(extra: list[tuple[int, str]]) -> str:
     steps, rest = [f"d0 AS (SELECT doc_id, {decoded('line')} AS rest FROM lines)"], []
     for i, (name, pattern, _) in enumerate(special.RULES):
-        steps.append(f"d{i + 1} AS (SELECT doc_id, {FOUND[name]('rest')} AS f{i}{''.join(rest)}, regexp_replace(rest, {lit(pattern)}, '', 'g') AS rest FROM d{i})")
+        steps.append(f"d{i + 1} AS (SELECT doc_id, {FOUND[name]('rest')} AS f{i}{''.join(rest)}, regexp_replace(rest, {lit(edged(pattern))}, '', 'g') AS rest FROM d{i})")
         rest.append(f", f{i}")
     found = "f0"
     for i in range(1, len(special.RULES)):

@@ -286,4 +286,5 @@ def replace(documents: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     out = F.when(F.col("new").isNull(), body).otherwise(F.array_join(between, ""))
     bare = F.when(F.size("names") > 0, F.aggregate(F.split(body, ANY), F.lit(0), lambda c, s: c + F.aggregate("names", F.lit(0), lambda a, n: a + F.regexp_count(s, _word(n["shown"])))))
     count = F.when(F.col("new").isNull(), 0).otherwise(F.col("n") + F.coalesce(bare, F.lit(0))).cast("int")
-    return joined.select(*((out if i == at else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(documents.columns) if c != "n_mentions"), count.alias("n_mentions"))
+    done = joined.select("row", out.alias("out"), count.alias("n"))  # before the columns get their own names, which could be those used here
+    return done.select(*((F.col("out") if i == at else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(documents.columns) if c != "n_mentions"), F.col("n").alias("n_mentions"))

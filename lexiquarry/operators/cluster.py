@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiquarry.operators.staging import written
+
 MAX_ITER = 20
 TOLERANCE = 1e-6
 
@@ -65,7 +67,7 @@ def kmeans(vectors: DataFrame, k: int, centroids: DataFrame | None = None, max_i
     second round. A round is one job: what reaches the driver are K times dimension sums.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).persist()
+    rows = written(usable(vectors), "vectors")
     centres = {r["cluster"]: list(r["centroid"]) for r in (seeds(rows, k, seed) if centroids is None else centroids).collect()}
     previous = 99999.0 if compat else None
     for _ in range(max_iter):

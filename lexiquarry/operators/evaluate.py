@@ -9,6 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiquarry.operators.ranking import hinted
+
+#: Characters of the pieces by which titles without an inner word are looked up.
+PIECE = 4
+
+
+def containing(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rel): documents whose text contains a topic's title; empty titles give none.
+
+    Cut at blanks, the words between a title's first and last stand whole in every text that
+    contains it: titles are looked up by the rarest of these. Titles without such a word are
+    looked up by their first characters among all pieces of the texts. Hits are then compared.
+    """
+    wanted = topics.select("query_id", "title").filter("title <> ''")
+    split = F.split("title", " ")
+    inner = F.filter(F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0))), lambda w: w != "")
+    keyed = wanted.withColumn("inner", inner)
+    words = keyed.select("query_id", "title", F.explode(F.array_distinct("inner")).alias("key"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
+    known = held.join(hinted(words.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("df"))
+    counted = words.join(known, "key", "left").groupBy("query_id", "title").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("least"))
+    hits = held.join(hinted(counted.select("query_id", "title", F.col("least.key").alias("key"))), "key").select("doc_id", "query_id", "title")
+    short = keyed.filter(F.size("inner") == 0).select("query_id", "title", F.substring("title", 1, PIECE).alias("key"))
+    sizes = sorted(r[0] for r in short.select(F.length("key")).distinct().collect())  # PIECE rows at most
+    if sizes:
+        starts = F.sequence(F.lit(1), F.length("text"))
+        pieces = F.concat(*[F.transform(starts, lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))) for n in sizes])
+        cut = docs.filter("text <> ''").select("doc_id", F.explode(F.array_distinct(pieces)).alias("key"))
+        hits = hits.unionByName(cut.join(hinted(short), "key").select("doc_id", "query_id", "title"))
+    compared = docs.select("doc_id", "text").join(hits, "doc_id").filter(F.contains("text", "title"))
+    return compared.select("query_id", "doc_id", F.lit(1).alias("rel")).distinct()
+
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run with ``rel`` (0 where there is no judgement) and ``found``, the relevant so far."""

@@ -120,9 +120,13 @@ def from_postings(postings: DataFrame, base: float = 10.0) -> Index:
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     n = lengths.agg(F.count("*").alias("n"))  # one row
     terms = term_stats(postings, n, base)
+    return Index(postings, terms, doc_stats(postings, terms))
+
+
+def doc_stats(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, doc_len, doc_norm2)."""
     weights = postings.join(terms.select("term", "idf"), "term")
-    doc_stats = weights.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("doc_norm2"))
-    return Index(postings, terms, doc_stats)
+    return weights.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("doc_norm2"))
 
 
 def lexicon(postings: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiquarry.functions import text
+from lexiquarry.functions import special, text
+from lexiquarry.functions.stemmer import stemmed
 from lexiquarry.functions.stops import STOP_WORDS
 from lexiquarry.operators.index import Index, collection_stats
 
@@ -24,10 +25,27 @@ def hinted(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
-def topic_terms(topics: DataFrame, stops=STOP_WORDS) -> DataFrame:
-    """(query_id, term, qtf) of (query_id, title); topics without terms give no rows."""
-    rows = topics.select("query_id", F.explode(text.terms(F.col("title"), stops)).alias("term"))
-    return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def topic_terms(topics: DataFrame, stops=STOP_WORDS, kind: str = "plain") -> DataFrame:
+    """(query_id, term, qtf) of (query_id, title); topics without terms give no rows.
+
+    Titles are parsed as the texts of an index of that kind: ``single`` takes special
+    tokens first, ``positional`` keeps stop words, ``stem`` stems what is left.
+    """
+    if kind == "plain":
+        found = topics.select("query_id", text.terms(F.col("title"), stops).alias("t"))
+    elif kind in ("single", "positional", "stem"):
+        decoded = topics.select("query_id", text.decode_escapes(F.col("title")).alias("line"))
+        if kind == "single":
+            found = special.with_special(decoded).select("query_id", F.concat("special", text.terms(F.col("rest"), stops)).alias("t"))
+        else:
+            found = decoded.select("query_id", (text.tokens(F.col("line")) if kind == "positional" else text.terms(F.col("line"), stops)).alias("t"))
+    else:
+        raise ValueError(f"topics aren't parsed into terms for an index of kind {kind!r}")
+    rows = found.select("query_id", F.explode("t").alias("term")).filter("term <> ''").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    if kind == "stem":
+        stems = stemmed(rows.select("term", F.col("query_id").alias("doc_id"), F.col("qtf").alias("tf")))
+        rows = stems.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+    return rows
 
 
 def top(scores: DataFrame, k: int = 100, digits: int = DIGITS) -> DataFrame:

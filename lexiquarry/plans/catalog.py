@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import special, text
 from lexiquarry.operators import cluster, dynamic, evaluate, index, ranking, vectors
+from lexiquarry.operators.staging import written
 from lexiquarry.plans import oracles as sql
 from lexiquarry.sources import readers, sinks
 
@@ -43,17 +44,24 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_index(spark: SparkSession, sf_dir: str, kind: str = "plain") -> index.Index:
-    """The index of a folder's documents; its tables are kept, so that texts are tokenised and counted once."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    """The index of a folder's documents, written once in a session and read by each query; changed files are indexed anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, f"{sf_dir}/documents.parquet"), kind)
     if key not in _held:
-        docs = documents(spark, sf_dir)
-        held = index.from_postings(index.build_index(docs, kind).postings.persist())
-        _held[key] = index.Index(held.postings, held.terms.persist(), held.doc_stats.persist())
+        held = index.from_postings(written(index.build_index(documents(spark, sf_dir), kind).postings, f"{kind}-postings"))
+        terms = written(held.terms, f"{kind}-terms")
+        _held[key] = index.Index(held.postings, terms, written(index.doc_stats(held.postings, terms), f"{kind}-docs"))
     return _held[key]
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.topic_terms(topics(spark, sf_dir))
+def _version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder was last changed, and its bytes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength()
+
+
+def asked(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
+    return ranking.topic_terms(topics(spark, sf_dir), kind=kind)
 
 
 # Tokens and indexes
@@ -131,24 +139,19 @@ def model_compare(spark, d):
 
 
 def qrels(spark, d):
-    """Documents that contain a topic's text: each document is held against the array of all topics."""
-    wanted = topics(spark, d).filter("title <> ''")
-    some = wanted.agg(F.collect_list(F.struct("query_id", "title")).alias("all"))
-    if wanted.count() > ranking.BROADCAST_ROWS:
-        raise ValueError("too many topics to hold against each document")
-    held = documents(spark, d).crossJoin(F.broadcast(some))  # one row, so no product
-    return held.select("doc_id", F.explode(F.filter("all", lambda t: F.contains(F.col("text"), t["title"]))).alias("t")).select("t.query_id", "doc_id", F.lit(1).alias("rel")).distinct()
+    """Documents that contain a topic's text."""
+    return evaluate.containing(documents(spark, d), topics(spark, d))
 
 
 def _measure(name: str) -> Callable:
     def query(spark, d):
-        return evaluate.measures(bm25_topk(spark, d), qrels(spark, d)).select("query_id", F.round(name, 6).alias(name))
+        return evaluate.measures(bm25_topk(spark, d), written(qrels(spark, d), "qrels")).select("query_id", F.round(name, 6).alias(name))
 
     return query
 
 
 def mean_average_precision(spark, d):
-    found = evaluate.summary(bm25_topk(spark, d), qrels(spark, d))
+    found = evaluate.summary(bm25_topk(spark, d), written(qrels(spark, d), "qrels"))
     return found.select("n_topics", *[F.round(c, 6).alias(c) for c in found.columns if c != "n_topics"])
 
 
@@ -175,6 +178,14 @@ def single_index(spark, d):
     return index.single_postings(rows.unionByName(spark.createDataFrame(EXTRA_LINES, rows.schema)))
 
 
+def topic_terms_single(spark, d):
+    return asked(spark, d, "single")
+
+
+def bm25_single_topk(spark, d):
+    return ranking.rank(held_index(spark, d, "single"), asked(spark, d, "single"), "bm25")
+
+
 # Phrases and positions
 
 
@@ -236,9 +247,7 @@ def stem_index(spark, d):
 
 
 def bm25_stem_topk(spark, d):
-    q = asked(spark, d).withColumnRenamed("query_id", "doc_id").withColumnRenamed("qtf", "tf")
-    stems = index.stemmed(q).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    return ranking.rank(held_index(spark, d, "stem"), stems, "bm25")
+    return ranking.rank(held_index(spark, d, "stem"), asked(spark, d, "stem"), "bm25")
 
 
 # Vectors and clusters
@@ -346,7 +355,7 @@ _SPECIAL = tuple(name for name, _, _ in special.RULES)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         tokens_normalized, lines_split, tokens_no_stops, term_frequency, inverted_index, lexicon, doc_lengths, collection_stats, idf_table, lexicon_stats, df_histogram, top_df_terms,
-        bm25_topk, cosine_topk, lm_dirichlet_topk, model_compare, qrels, mean_average_precision, single_index,
+        bm25_topk, cosine_topk, lm_dirichlet_topk, model_compare, qrels, mean_average_precision, single_index, topic_terms_single, bm25_single_topk,
         phrase_ngrams, phrase_cross_line, phrase_df, phrase_filtered, query_phrases, positional_index, posting_intersection, proximity_pairs, proximity_window, proximity_scan, dynamic_bm25, score_fusion,
         stem_index, bm25_stem_topk, select_dimensions, doc_term_matrix, query_matrix,
         kmeans_assign, kmeans_update, cluster_cohesion, interclass_similarity, intraclass_similarity, cluster_route, cluster_search, kmeans_full, cluster_search_split,
@@ -360,6 +369,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     base = f"WITH {sql.POSTINGS}"
+    single = sql.weighted(sql.single_index(sql.special_lines([])), f"SELECT doc_id AS query_id, term, tf AS qtf FROM ({sql.single_index(sql.TOPIC_LINES)})")
     phrases, lists, groups = f"WITH {sql.PHRASES}", f"WITH {sql.LISTS}", f"WITH {sql.clusters(CLUSTERS)}"
     chosen = f"""chosen AS (SELECT term, idf, 0 AS extra FROM (SELECT * FROM terms WHERE idf >= 1 ORDER BY idf, term LIMIT {DIMENSIONS})),
 dims AS (SELECT (row_number() OVER (ORDER BY extra, term) - 1)::INT AS dim, term, idf FROM (SELECT * FROM chosen UNION ALL SELECT term, idf, 1 FROM terms WHERE term IN (SELECT term FROM q) AND term NOT IN (SELECT term FROM chosen)))"""
@@ -386,7 +396,9 @@ dims AS (SELECT (row_number() OVER (ORDER BY extra, term) - 1)::INT AS dim, term
         "model_compare": f"{base} " + " UNION ALL ".join(f"SELECT '{m}' AS model, query_id, doc_id, rank FROM ({sql.ranked(s, 10)})" for m, s in sql.SCORES.items()),
         "qrels": f"WITH {sql.QRELS} SELECT query_id, doc_id, 1 AS rel FROM qrels",
         "mean_average_precision": f"{sql.MEASURES} SELECT count(*) AS n_topics, " + ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in _MEASURES) + " FROM measures",
-        "single_index": sql.single_index(EXTRA_LINES),
+        "single_index": sql.single_index(sql.special_lines(EXTRA_LINES)),
+        "topic_terms_single": f"SELECT doc_id AS query_id, term, tf AS qtf FROM ({sql.single_index(sql.TOPIC_LINES)})",
+        "bm25_single_topk": f"WITH {single} {sql.ranked(sql.SCORES['bm25'], 100)}",
         "phrase_ngrams": f"{phrases} SELECT doc_id, phrase, count(*) AS n FROM inside GROUP BY doc_id, phrase",
         "phrase_cross_line": f"{phrases} SELECT doc_id, line_no, phrase FROM crossing",
         "phrase_df": f"{phrases} SELECT phrase AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM phrases GROUP BY phrase HAVING count(DISTINCT doc_id) > 1",

@@ -51,15 +51,24 @@ def every(line: str, pattern: str) -> str:
     return f"regexp_extract_all({line}, {lit(edged(pattern))})"
 
 
-POSTINGS = f"""
-post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({terms("text")}) AS term FROM documents) GROUP BY term, doc_id),
+PLAIN = f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({terms('text')}) AS term FROM documents) GROUP BY term, doc_id"
+PLAIN_ASKED = f"SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({terms('text')}) AS term FROM benchmark) GROUP BY query_id, term"
+
+
+def weighted(post: str = PLAIN, asked: str = PLAIN_ASKED) -> str:
+    """Postings, their statistics and the topics' terms as common table expressions."""
+    return f"""
+post AS ({post}),
 dl AS (SELECT doc_id, sum(tf)::BIGINT AS doc_len FROM post GROUP BY doc_id),
 col AS (SELECT count(*)::BIGINT AS n_docs, sum(doc_len)::BIGINT AS n_tokens, sum(doc_len)::DOUBLE / count(*) AS avg_len FROM dl),
 terms AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, log10(any_value(n_docs)::DOUBLE / count(*)) AS idf FROM post, col GROUP BY term),
 norms AS (SELECT doc_id, sum(tf)::BIGINT AS doc_len, sum(pow(tf * idf, 2)) AS doc_norm2 FROM post JOIN terms USING (term) GROUP BY doc_id),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({terms("text")}) AS term FROM benchmark) GROUP BY query_id, term)
+q AS ({asked})
 """
 
+
+POSTINGS = weighted()
+
 SCORES = {
     "bm25": f"""SELECT query_id, doc_id, sum(ln((n_docs - df + 0.5e0) / (df + 0.5e0)) * (({K1} + 1) * tf / ({K1} * ((1 - {B}) + {B} * doc_len / avg_len) + tf)) * (({K2} + 1) * qtf / ({K2} + qtf))) AS score
 FROM q JOIN post USING (term) JOIN terms USING (term) JOIN dl USING (doc_id), col GROUP BY query_id, doc_id""",
@@ -135,7 +144,13 @@ FOUND = {
 }
 
 
+#: Topics as lines, under the names that documents' lines have.
+TOPIC_LINES = "lines AS (SELECT item_id AS doc_id, 0 AS line_no, text AS line FROM benchmark)"
+
+
 def special_lines(extra: list[tuple[int, str]]) -> str:
+    if not extra:
+        return f"lines AS (SELECT doc_id, 0 AS line_no, unnest({lines('text')}) AS line FROM documents)"
     rows = ", ".join(f"({i}, 0, {lit(x)})" for i, x in extra)
     return f"lines AS (SELECT doc_id, line_no, line FROM (SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, {lines('text')} AS l FROM documents) UNION ALL SELECT * FROM (VALUES {rows})))"
 
@@ -144,7 +159,7 @@ def special_found(name: str, extra: list[tuple[int, str]]) -> str:
     return f"WITH {special_lines(extra)}, found AS (SELECT doc_id, line_no, {FOUND[name]('line')} AS tokens FROM lines) SELECT doc_id, line_no, array_to_string(tokens, ' ') AS tokens FROM found WHERE len(tokens) > 0"
 
 
-def single_index(extra: list[tuple[int, str]]) -> str:
+def single_index(source: str) -> str:
     steps, rest = [f"d0 AS (SELECT doc_id, {decoded('line')} AS rest FROM lines)"], []
     for i, (name, pattern, _) in enumerate(special.RULES):
         steps.append(f"d{i + 1} AS (SELECT doc_id, {FOUND[name]('rest')} AS f{i}{''.join(rest)}, regexp_replace(rest, {lit(edged(pattern))}, '', 'g') AS rest FROM d{i})")
@@ -152,7 +167,7 @@ def single_index(extra: list[tuple[int, str]]) -> str:
     found = "f0"
     for i in range(1, len(special.RULES)):
         found = f"list_concat({found}, f{i})"
-    return f"WITH {special_lines(extra)}, {', '.join(steps)} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat({found}, {terms('rest')})) AS term FROM d{len(special.RULES)}) WHERE term <> '' GROUP BY term, doc_id"
+    return f"WITH {source}, {', '.join(steps)} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat({found}, {terms('rest')})) AS term FROM d{len(special.RULES)}) WHERE term <> '' GROUP BY term, doc_id"
 
 
 # Phrases.

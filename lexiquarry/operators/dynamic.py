@@ -2,8 +2,9 @@
 
 A topic's phrases are looked up in order. One that the phrase index holds is
 scored by BM25 on that index. For any other the terms' posting lists are
-intersected, and if a document holds them all close together the positional
-index is scored. The last routed phrase of a topic counts. Topics with too few
+intersected, and if a document holds them all close together, or did so for an
+earlier such phrase of the topic, the positional index is scored. The last
+routed phrase of a topic counts. Topics with too few
 documents, or without a positional hit, fall back on single terms; where both
 score a document its scores are averaged.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexiquarry.functions import text
 from lexiquarry.functions.stops import STOP_WORDS
@@ -87,16 +89,24 @@ def phrase_terms(phrases: DataFrame) -> DataFrame:
 
 
 def route(topics: DataFrame, phrase_index: Index, positional_index: Index, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(query_id, ord, phrase, route) of the routed phrases, and the hits per topic (query_id, hits)."""
+    """(query_id, ord, phrase, route) of the routed phrases, and the hits per topic (query_id, hits).
+
+    A topic's hits are counted over its phrases in order: from the first hit on, every phrase that
+    the phrase index lacks goes to the positional index, if that holds all its terms.
+    """
     asked = query_phrases(topics)
     listed = asked.select("phrase").distinct()
     held = phrase_index.terms.select(F.col("term").alias("phrase")).join(hinted(listed), "phrase", "left_semi").withColumn("held", F.lit(True))
     marked = written(asked.join(held, "phrase", "left"), "asked")
     known = marked.filter("held").select("query_id", "ord", "phrase", F.lit("phrase").alias("route"))
     other = marked.filter("held is null").select("query_id", "ord", "phrase")
-    lists = intersection(positional_index.postings, phrase_terms(other))
+    parts = written(phrase_terms(other), "parts")
+    found = positional_index.terms.join(hinted(parts.select("term").distinct()), "term", "left_semi").select("term", F.lit(1).alias("there"))
+    whole = written(parts.join(hinted(found), "term", "left").groupBy(F.col("key").alias("phrase")).agg(F.every(F.col("there").isNotNull()).alias("whole")).filter("whole").select("phrase"), "whole")
+    lists = intersection(positional_index.postings, parts)
     hits = written(scanned(lists, window).groupBy(F.col("key").alias("phrase")).agg(F.count("*").alias("hits")), "hits")  # a row a phrase
-    close = other.join(hinted(hits), "phrase")
+    so_far = Window.partitionBy("query_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    close = other.join(hinted(whole), "phrase").join(hinted(hits), "phrase", "left").withColumn("so_far", F.sum("hits").over(so_far)).filter("so_far > 0")
     counts = close.groupBy("query_id").agg(F.sum("hits").alias("hits"))
     routed = known.unionByName(close.select("query_id", "ord", "phrase", F.lit("positional").alias("route")))
     return written(routed, "routed"), written(counts, "counts")

@@ -34,8 +34,8 @@ def containing(docs: DataFrame, topics: DataFrame) -> DataFrame:
     short = keyed.filter(F.size("inner") == 0).select("query_id", "title", F.substring("title", 1, PIECE).alias("key"))
     sizes = sorted(r[0] for r in short.select(F.length("key")).distinct().collect())  # PIECE rows at most
     if sizes:
-        starts = F.sequence(F.lit(1), F.length("text"))
-        pieces = F.concat(*[F.transform(starts, lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))) for n in sizes])
+        cuts = F.array(*[F.lit(n) for n in sizes])
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(cuts, lambda n: F.substring(F.col("text"), i, n))))
         cut = docs.filter("text <> ''").select("doc_id", F.explode(F.array_distinct(pieces)).alias("key"))
         hits = hits.unionByName(cut.join(hinted(short), "key").select("doc_id", "query_id", "title"))
     compared = docs.select("doc_id", "text").join(hits, "doc_id").filter(F.contains("text", "title"))

@@ -234,7 +234,7 @@ def proximity_scan(spark, d):
 
 
 def dynamic_bm25(spark, d):
-    return dynamic.rank_dynamic(topics(spark, d), held_index(spark, d, "phrase"), held_index(spark, d, "positional"), held_index(spark, d), asked(spark, d))
+    return dynamic.rank_dynamic(topics(spark, d), held_index(spark, d, "phrase"), held_index(spark, d, "positional"), held_index(spark, d, "single"), asked(spark, d, "single"))
 
 
 def score_fusion(spark, d):

@@ -90,6 +90,24 @@ def test_line_dedup_deals_with_hot_pairs_of_words(spark, monkeypatch):
     assert sum(got[i] for i in range(300)) == 0 and sum(got[i] for i in range(300, 360)) >= 57
 
 
+def test_line_dedup_leaves_no_pair_of_a_hot_bucket_out(spark, monkeypatch):
+    """Near lines that lack the four rarest words after the hot pair share half of their kept words, but no other pair of the first four."""
+    monkeypatch.setattr(linededup, "HOT", 32)
+    rng = np.random.default_rng(11)
+    common = "extraordinarily incomprehensibilities"
+    lines = [common + " " + " ".join(f"{x:05x}" for x in rng.integers(0, 1 << 20, 22)) for _ in range(300)]
+    ranked = spark.createDataFrame(list(enumerate(lines)), "i long, line string").selectExpr("i", "explode(split(line, ' ')) as w").selectExpr("i", "w", "shiftrightunsigned(xxhash64(w), length(w)) as h")
+    order = {}
+    for r in ranked.orderBy("i", "h").collect():
+        order.setdefault(r.i, []).append(r.w)
+    near = []
+    for i in range(60):
+        gone = dict(zip([w for w in order[i] if w not in common][:4], "qwzv"))
+        near.append(" ".join(gone.get(w, w) for w in lines[i].split(" ")))
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicate(spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(300)) == 0 and sum(got[i] for i in range(300, 360)) == 60
+
+
 def test_decontamination_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

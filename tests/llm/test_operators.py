@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiquarry.llm import ann, decontaminate, extract, linededup, mixing, pii, quality, queries, simhash, substring, toxicity
-from lexiquarry.llm.common import staged
+from lexiquarry.llm.common import sieve, staged
 
 SCHEMA = "doc_id long, text string, source string"
 ODD = [(1, None, None), (2, "", "a"), (3, "one two three four five six", "a"), (4, "one two three four five six", "a"), (5, "x" * 5000 + " tail", None)]
@@ -108,6 +108,33 @@ def test_line_dedup_leaves_no_pair_of_a_hot_bucket_out(spark, monkeypatch):
     assert sum(got[i] for i in range(300)) == 0 and sum(got[i] for i in range(300, 360)) == 60
 
 
+def test_line_dedup_reads_no_texts_of_lines_that_share_a_key_by_chance(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    common = "extraordinarily incomprehensibilities"
+    lines = [common + " " + " ".join(f"{x:05x}" for x in rng.integers(0, 1 << 20, 20)) for _ in range(200)]
+    near = [x.rsplit(" ", 1)[0] + " zz" for x in lines[:20]]
+    read, texts = [], linededup._texts
+    monkeypatch.setattr(linededup, "_texts", lambda documents, table, ids: (read.append(ids.count()), texts(documents, table, ids))[1])
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicate(spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(200)) == 0 and sum(got[i] for i in range(200, 220)) >= 19
+    assert sum(read) <= 60
+
+
+def test_line_dedup_deals_out_the_members_of_buckets_once(spark):
+    rows = spark.createDataFrame([(i % 50, i, 20, 1) for i in range(500)], "key long, id long, chars int, copies long")
+    found = linededup._buckets(rows, 0.8)
+    assert found.count() == 500
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sieve_keeps_all_it_holds_and_few_others(spark):
+    held = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    got = spark.range(20_000).filter(sieve(held, F.xxhash64("id"))).selectExpr("count_if(id < 2000) as held", "count(*) as n").first()
+    assert got.held == 2000 and got.n <= 2000 + 900
+    assert spark.range(100).filter(sieve(held.limit(0), F.xxhash64("id"))).count() == 0
+
+
 def test_decontamination_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

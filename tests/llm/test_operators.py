@@ -120,6 +120,21 @@ def test_line_dedup_reads_no_texts_of_lines_that_share_a_key_by_chance(spark, mo
     assert sum(read) <= 60
 
 
+def test_line_dedup_compares_over_all_partitions_and_in_characters_last(spark, monkeypatch):
+    """Few bytes can take long to compare; and of the lines that share a rare pair, those that words have linked already aren't compared in characters."""
+    rng = np.random.default_rng(5)
+    common = "extraordinarily incomprehensibilities"
+    lines = [common + " " + " ".join(f"{x:06x}" for x in rng.integers(0, 1 << 24, 12)) for _ in range(60)]
+    words = [x.rsplit(" ", 1)[0] + " zz" for x in lines[:20]]
+    # Four of 14 words by one letter each: too far in words, near in characters.
+    letters = [" ".join(w[:-1] + "z" if i in (2, 3, 4, 5) else w for i, w in enumerate(x.split(" "))) for x in lines[20:40]]
+    seen, paired = [], linededup._paired
+    monkeypatch.setattr(linededup, "_paired", lambda *a, **k: (seen.append((a[0], paired(*a, **k))), seen[-1][1])[1])
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicate(spark.createDataFrame(list(enumerate(lines + words + letters)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(60)) == 0 and sum(got[i] for i in range(60, 80)) >= 19 and sum(got[i] for i in range(80, 100)) >= 19
+    assert len(seen) == 2 and all("REPARTITION_BY_NUM" in p._jdf.queryExecution().executedPlan().toString() for _, p in seen)
+
+
 def test_line_dedup_deals_out_the_members_of_buckets_once(spark):
     rows = spark.createDataFrame([(i % 50, i, 20, 1) for i in range(500)], "key long, id long, chars int, copies long")
     found = linededup._buckets(rows, 0.8)

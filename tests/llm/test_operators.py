@@ -135,6 +135,14 @@ def test_line_dedup_compares_over_all_partitions_and_in_characters_last(spark, m
     assert len(seen) == 2 and all("REPARTITION_BY_NUM" in p._jdf.queryExecution().executedPlan().toString() for _, p in seen)
 
 
+def test_line_dedup_splits_only_documents_that_hold_wanted_lines(spark):
+    docs = spark.createDataFrame([(i, f"line number {i} here\nother {i}") for i in range(50)], "doc_id long, text string").withColumn("text_id", F.xxhash64("text"))
+    lines = staged(linededup.distinct_lines(linededup.line_table(docs)), "lines")
+    found = linededup._texts(docs, lines, lines.filter("doc_id = 7").select(F.col("k1").alias("id")))
+    assert sorted(r.line for r in found.collect()) == ["line number 7 here", "other 7"]
+    assert "bit_get" in found._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1]
+
+
 def test_line_dedup_deals_out_the_members_of_buckets_once(spark):
     rows = spark.createDataFrame([(i % 50, i, 20, 1) for i in range(500)], "key long, id long, chars int, copies long")
     found = linededup._buckets(rows, 0.8)

@@ -143,6 +143,28 @@ def test_line_dedup_splits_only_documents_that_hold_wanted_lines(spark):
     assert "bit_get" in found._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1]
 
 
+def test_line_dedup_makes_no_table_twice_and_compares_no_line_in_vain(spark, monkeypatch):
+    """Only staged tables are measured, as others would be made once more for that; short lines, compared in characters at first, aren't compared again later."""
+    rng = np.random.default_rng(9)
+    common = "extraordinarily incomprehensibilities"
+    lines = [common + " " + " ".join(f"{x:06x}" for x in rng.integers(0, 1 << 24, n)) for n in [12] * 40 + [5] * 40]
+    near = [x.rsplit(" ", 1)[0] + " zz" for x in lines]
+    measured, compared, small, paired = [], [], linededup.small, linededup._paired
+    monkeypatch.setattr(linededup, "small", lambda frame, *a, within=None, **k: (measured.append(within if within is not None else frame), small(frame, *a, within=within, **k))[1])
+    monkeypatch.setattr(linededup, "_paired", lambda rows, *a, **k: (compared.append(rows), paired(rows, *a, **k))[1])
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicate(spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(80)) == 0 and sum(got[i] for i in range(80, 160)) >= 78
+    plans = [m._jdf.queryExecution().optimizedPlan().toString() for m in measured]
+    assert len(plans) >= 9 and not any(x in p for p in plans for x in ("Aggregate", "Generate"))
+    assert len(compared) == 2 and "words#" in (late := compared[1]._jdf.queryExecution().optimizedPlan().toString()) and f"> {linededup.SHORT})" in late
+
+
+def test_line_dedup_keeps_the_least_different_words(spark):
+    rows = spark.createDataFrame([(0, None), (1, []), (2, [3, 1, 2]), (3, [5] * 40 + [4] * 3), (4, [*range(30, 0, -1)] * 3), (5, [1] * 9 + [*range(2, 9)])], "i long, f array<long>")
+    got = {r.i: r.w for r in linededup._least(rows, F.col("f"), "w").collect()}
+    assert got == {0: None, 1: [], 2: [1, 2, 3], 3: [4, 5], 4: [*range(1, 9)], 5: [*range(1, 9)]}
+
+
 def test_line_dedup_deals_out_the_members_of_buckets_once(spark):
     rows = spark.createDataFrame([(i % 50, i, 20, 1) for i in range(500)], "key long, id long, chars int, copies long")
     found = linededup._buckets(rows, 0.8)

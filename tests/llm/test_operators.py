@@ -135,6 +135,17 @@ def test_line_dedup_compares_over_all_partitions_and_in_characters_last(spark, m
     assert len(seen) == 2 and all("REPARTITION_BY_NUM" in p._jdf.queryExecution().executedPlan().toString() for _, p in seen)
 
 
+def test_line_dedup_compares_a_hot_bucket_in_cells_that_leave_no_pair_out(spark):
+    """No task compares more than a cell of two buckets' worth of pairs, and each line outside meets each of its bucket once."""
+    rows = [(k, i, i % 3 > 0, n) for k, n in ((1, 20), (2, 400), (3, 1500)) for i in range(n)]
+    left, right = linededup._cells(spark.createDataFrame(rows, "key long, id long, outside boolean, n long"), [])
+    pairs = left.join(right, ["key", "block", "cell"]).groupBy("key", "block", "cell").agg(F.count("*").alias("p"), F.count_distinct("a", "b").alias("d"))
+    got = {r.key: r for r in pairs.groupBy("key").agg(F.max("p").alias("most"), F.sum("p").alias("p"), F.sum("d").alias("d")).collect()}
+    for n, k in ((20, 1), (400, 2), (1500, 3)):
+        outside = sum(i % 3 > 0 for i in range(n))
+        assert got[k].p == got[k].d == outside * n and got[k].most <= max(32 * 32, 2 * n)
+
+
 def test_line_dedup_splits_only_documents_that_hold_wanted_lines(spark):
     docs = spark.createDataFrame([(i, f"line number {i} here\nother {i}") for i in range(50)], "doc_id long, text string").withColumn("text_id", F.xxhash64("text"))
     lines = staged(linededup.distinct_lines(linededup.line_table(docs)), "lines")

@@ -14,6 +14,13 @@ from lexiquarry.functions.stops import STOP_WORDS
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What separates tokens: white space and the signs that are never stored.
 SEPARATORS = r"[\s\x{00A0}$^*@()/○•,?!;:`\]\[&]+"
+#: What lies between two tokens: separators, with the punctuation that token ends lose.
+_APART = SEPARATORS[1:-2]
+_SIGNS = "".join("\\" + c for c in PUNCTUATION)
+_INNER = "".join("\\" + c for c in PUNCTUATION if c not in "$^*@()/,?!;:`][&")
+BETWEEN = f"[{_INNER}]*[{_APART}][{_APART}{_SIGNS}]*"
+#: What no token begins or ends with.
+ENDS = PUNCTUATION + " \t\n\x0b\f\r\u00a0○•"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{0085}\x{2028}\x{2029}]"
 ESCAPES = (("&blank;", "&"), ("blank;", "&"), ("&cir;", "○"), ("&hyph;", "-"), ("&sect;", "§"), ("&times;", "×"), ("&racute;", "r"))
 W = r"[\p{L}\p{N}_]"
@@ -45,8 +52,15 @@ def raw_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Normalised tokens in order, stop words included; a token's place, from 1, is its position."""
-    return F.filter(F.transform(F.split(text, SEPARATORS), normalize), lambda t: t != "")
+    """Normalised tokens in order, stop words included; a token's place, from 1, is its position.
+
+    These are the pieces between ``SEPARATORS``, each normalised; as the text is split where
+    separators and the punctuation beside them lie, no token is looked at alone. Only a capital
+    sigma's lower case depends on where the token ends.
+    """
+    cut = F.btrim(text, F.lit(ENDS))
+    found = F.when(F.contains(cut, F.lit("Σ")), F.transform(F.split(cut, BETWEEN), F.lower)).otherwise(F.split(F.lower(cut), BETWEEN))
+    return F.array_remove(found, "")
 
 
 def words(values) -> Column:

@@ -41,9 +41,18 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def term_rows(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
+    """(doc_id, term) of each base token that isn't a stop word.
+
+    By explode_outer: before explode, Spark filters by the array's size, and so makes each array more than once.
+    """
+    every = docs.select("doc_id", F.explode_outer(text.tokens(F.col("text"))).alias("term"))
+    return every.filter(F.col("term").isNotNull() & ~text.is_stop(F.col("term"), stops))
+
+
 def plain_postings(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
     """Base tokens of whole texts without stop words."""
-    return counted(docs.select("doc_id", F.explode(text.terms(F.col("text"), stops)).alias("term")))
+    return counted(term_rows(docs, stops))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:

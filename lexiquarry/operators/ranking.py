@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from lexiquarry.functions import special, text
 from lexiquarry.functions.stemmer import stemmed
 from lexiquarry.functions.stops import STOP_WORDS
-from lexiquarry.operators.index import Index, collection_stats
+from lexiquarry.operators.index import Index, collection_stats, term_rows
+from lexiquarry.operators.staging import written
 
 DIGITS = 6
 #: Rows up to which topic terms are broadcast.
@@ -127,16 +128,16 @@ def rank(index: Index, queries: DataFrame, model: str = "bm25", k: int = 100) ->
 def bm25_scan(docs: DataFrame, queries: DataFrame, k: int = 100, stops=STOP_WORDS) -> DataFrame:
     """BM25 straight from texts, without an index: the same ranking in one scan.
 
-    Only postings of query terms are shuffled; a document's length is the size of
-    its token array, so nothing else leaves the scan.
+    Only postings of query terms are shuffled, and for each document how many other
+    tokens it has: the texts are split once, and the collection's figures are counted from what is left.
     """
-    sized = docs.select("doc_id", text.terms(F.col("text"), stops).alias("t")).filter(F.size("t") > 0)
-    lengths = sized.select("doc_id", F.size("t").cast("long").alias("doc_len"))
     known = hinted(queries)
-    hits = sized.select("doc_id", F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term")).join(hinted(queries.select("term").distinct()), "term", "left_semi")
-    postings = hits.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+    asked = queries.select("term").distinct().withColumn("asked", F.col("term"))
+    found = term_rows(docs, stops).join(hinted(asked), "term", "left").groupBy("doc_id", "asked").agg(F.count("*").alias("tf"))
+    found = written(found.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id"))), "found")
+    size = collection_stats(found.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))).first()
+    postings = found.filter("asked is not null").withColumnRenamed("asked", "term")
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    size = collection_stats(lengths).first()
-    rows = postings.join(counts, "term").join(known, "term")
+    rows = postings.join(hinted(counts), "term").join(known, "term")
     weight = bm25_weight(F.lit(size["n_docs"]), F.col("df"), F.col("tf"), F.col("qtf"), F.col("doc_len"), F.lit(size["avg_len"]))
     return top(rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score")), k)

@@ -44,7 +44,7 @@ def decode_escapes(line: Column) -> Column:
     out = line
     for name, sign in ESCAPES:
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.when(line.rlike("&[a-z]+;"), out).otherwise(line)
+    return F.when(F.contains(line, F.lit("&")) & line.rlike("&[a-z]+;"), out).otherwise(line)
 
 
 def raw_tokens(text: Column) -> Column:

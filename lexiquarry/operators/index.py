@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiquarry.functions import special, text
-from lexiquarry.functions.stemmer import stemmed
 from lexiquarry.functions.stops import STOP_WORDS
+from lexiquarry.operators.counting import per_document, phrases
 
 KINDS = ("single", "stem", "positional", "phrase", "plain")
 
@@ -26,9 +26,14 @@ class Index:
     terms: DataFrame
     doc_stats: DataFrame
 
+    @property
+    def lengths(self) -> DataFrame:
+        """(doc_id, doc_len): what takes no weights."""
+        return document_lengths(self.postings)
+
     def collection(self) -> DataFrame:
         """One row: n_docs, n_tokens, avg_len."""
-        return collection_stats(self.doc_stats)
+        return collection_stats(self.lengths)
 
 
 def collection_stats(doc_stats: DataFrame) -> DataFrame:
@@ -36,11 +41,6 @@ def collection_stats(doc_stats: DataFrame) -> DataFrame:
     return stats.withColumn("avg_len", F.col("n_tokens") / F.col("n_docs"))
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) of (doc_id, term) rows."""
-    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-
-
 def term_rows(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
     """(doc_id, term) of each base token that isn't a stop word.
 
@@ -52,7 +52,12 @@ def term_rows(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
 
 def plain_postings(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
     """Base tokens of whole texts without stop words."""
-    return counted(term_rows(docs, stops))
+    return per_document(docs.select("doc_id", text.tokens(F.col("text")).alias("t")), stops)
+
+
+def stem_postings(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
+    """Stems of the base tokens that aren't stop words."""
+    return per_document(docs.select("doc_id", text.tokens(F.col("text")).alias("t")), stops, stems=True)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -62,16 +67,28 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def single_postings(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
     """Special tokens of each line, then the base tokens of the rest without stop words."""
-    decoded = line_rows(docs).select("doc_id", text.decode_escapes(F.col("line")).alias("line"))
-    marked = special.with_special(decoded)
-    found = F.concat("special", text.terms(F.col("rest"), stops))
-    return counted(marked.select("doc_id", F.explode(found).alias("term")).filter("term <> ''"))
+    lines = docs.select("doc_id", F.transform(text.lines(F.col("text")), text.decode_escapes).alias("lines"))
+    marked = special.in_lines(lines)
+    rest = text.terms(F.array_join(F.transform("marked", lambda x: x["rest"]), "\n"), stops)
+    found = F.array_remove(F.concat(F.flatten(F.transform("marked", lambda x: x["special"])), rest), "")
+    return per_document(marked.select("doc_id", found.alias("t")))
 
 
 def positional_postings(docs: DataFrame) -> DataFrame:
     """Positions from 1 over all tokens of the document, stop words kept."""
-    placed = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("at", "term"))
-    return placed.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+    return per_document(docs.select("doc_id", text.tokens(F.col("text")).alias("t")), positions=True)
+
+
+def placed_postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The positional postings of the terms in ``wanted`` (term) alone; no others are shuffled."""
+    placed = docs.select("doc_id", F.posexplode_outer(text.tokens(F.col("text"))).alias("at", "term")).filter("term is not null")
+    return placed.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+
+
+def line_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, t): the phrase tokens of each line that has any."""
+    found = F.transform(text.lines(F.col("text")), lambda x: text.phrase_tokens(text.decode_escapes(x)))
+    return docs.select("doc_id", F.filter(found, lambda t: F.size(t) > 0).alias("t"))
 
 
 def phrase_rows(docs: DataFrame, stops=STOP_WORDS) -> DataFrame:
@@ -96,11 +113,11 @@ def crossing_phrases(flagged: DataFrame) -> DataFrame:
 
 def phrase_postings(docs: DataFrame, stops=STOP_WORDS, least_df: int = 1) -> DataFrame:
     """(term, doc_id, tf) of phrases in at least ``least_df`` documents."""
-    found = counted(phrase_rows(docs, stops).select("doc_id", F.col("phrase").alias("term")))
+    found = phrases(line_tokens(docs), (*stops, *text.PHRASE_SIGNS))
     if least_df <= 1:
         return found
-    common = found.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
-    return found.join(common.select("term"), "term", "left_semi")
+    common = found.withColumn("df", F.count("*").over(Window.partitionBy("term")))  # one exchange for the counts and for what they choose
+    return common.filter(F.col("df") >= least_df).drop("df")
 
 
 def term_stats(postings: DataFrame, n: DataFrame, base: float = 10.0) -> DataFrame:
@@ -110,7 +127,7 @@ def term_stats(postings: DataFrame, n: DataFrame, base: float = 10.0) -> DataFra
 
 
 def build_index(docs: DataFrame, kind: str = "single", stops=STOP_WORDS, base: float = 10.0) -> Index:
-    """An index over (doc_id, text). Nothing is computed until its tables are used."""
+    """An index over (doc_id, text). Nothing but whether ids repeat is computed until its tables are used."""
     if kind not in KINDS:
         raise ValueError(f"unknown index kind {kind!r}: one of {', '.join(KINDS)}")
     if kind == "positional":
@@ -120,14 +137,16 @@ def build_index(docs: DataFrame, kind: str = "single", stops=STOP_WORDS, base: f
     elif kind == "single":
         postings = single_postings(docs, stops)
     else:
-        postings = plain_postings(docs, stops)
-        postings = stemmed(postings) if kind == "stem" else postings
+        postings = stem_postings(docs, stops) if kind == "stem" else plain_postings(docs, stops)
     return from_postings(postings, base)
 
 
+def document_lengths(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+
+
 def from_postings(postings: DataFrame, base: float = 10.0) -> Index:
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
-    n = lengths.agg(F.count("*").alias("n"))  # one row
+    n = document_lengths(postings).agg(F.count("*").alias("n"))  # one row
     terms = term_stats(postings, n, base)
     return Index(postings, terms, doc_stats(postings, terms))
 

@@ -77,7 +77,7 @@ def collection_row(index: Index) -> list[Column]:
 
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
     n_docs, _, avg_len = collection_row(index)
-    rows = matched(index, queries).join(index.doc_stats.select("doc_id", "doc_len"), "doc_id")
+    rows = matched(index, queries).join(index.lengths, "doc_id")
     weight = bm25_weight(n_docs, F.col("df"), F.col("tf"), F.col("qtf"), F.col("doc_len"), avg_len)
     return rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
@@ -106,10 +106,10 @@ def likelihood(index: Index, queries: DataFrame, k: int = 100) -> DataFrame:
     base = own.groupBy("query_id").agg(F.sum(F.log(mu * F.col("cf") / n_tokens)).alias("base"), F.count("*").alias("m"))
     gain = F.log(1 + F.col("tf") * n_tokens / (mu * F.col("cf")))
     hits = matched(index, queries).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("gain"))
-    short = index.doc_stats.select("doc_id", "doc_len").orderBy("doc_len", "doc_id").limit(k)
+    short = index.lengths.orderBy("doc_len", "doc_id").limit(k)
     plain = base.select("query_id").crossJoin(F.broadcast(short.select("doc_id"))).withColumn("gain", F.lit(0.0))  # k rows a query
     both = hits.unionByName(plain).groupBy("query_id", "doc_id").agg(F.sum("gain").alias("gain"))
-    rows = both.join(hinted(base), "query_id").join(index.doc_stats.select("doc_id", "doc_len"), "doc_id")
+    rows = both.join(hinted(base), "query_id").join(index.lengths, "doc_id")
     return rows.select("query_id", "doc_id", (F.col("base") - F.col("m") * F.log(F.col("doc_len") + mu) + F.col("gain")).alias("score"))
 
 

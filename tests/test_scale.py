@@ -2,10 +2,15 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.functions import text
-from lexiquarry.operators import index, ranking
+from lexiquarry.functions import special, text
+from lexiquarry.functions.stemmer import stemmed
+from lexiquarry.functions.stops import STOP_WORDS
+from lexiquarry.operators import counting, index, ranking
+from lexiquarry.operators.staging import written
+from lexiquarry.plans import catalog
 
 
 def plan(frame) -> str:
@@ -31,3 +36,67 @@ def test_the_scan_splits_texts_once(spark):
     assert plan(index.term_rows(docs)).count("split(lower") == 1
     held = ranking.rank(index.build_index(docs, "plain"), asked)
     assert sorted(run.collect()) == sorted(held.collect()) and run.count() == 3
+
+
+def odd_lines(n: int = 400) -> list[str]:
+    rng = random.Random(8)
+    words = "Fox the red. U.S. AT j.doe@mail.example.org 10.20.30.40 1/2/2012 Jan 5, 94, $12.50 §§3.5 co-operate 50-mile x-1-2 http://www.a.org/b report.PDF a&hyph;b 2&times;3 owl's , - ' of 中文 ΟΔΟΣ:Α".split(" ")
+    return ["", "red", "the", "red fox", "a b c d"] + [rng.choice(["", " ", "\n"]).join(rng.choices(words, k=1)) + " ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(n)]
+
+
+def documents(spark, repeated: bool):
+    rng, lines = random.Random(9), odd_lines()
+    rows = [(i // 2 if repeated else i, rng.choice(["\n", "\r\n", "\n\n"]).join(rng.choices(lines, k=rng.randrange(6)))) for i in range(300)]
+    return spark.createDataFrame(rows + [(1000, None)], "doc_id long, text string")
+
+
+def rows_of(frame) -> list:
+    return sorted(tuple(r) for r in frame.collect())
+
+
+def counted(rows):
+    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_postings_are_counted_within_documents(spark, repeated, monkeypatch):
+    """Before, each posting was shuffled. Documents that share an id are still one."""
+    monkeypatch.setattr(counting, "SLICE", 50)
+    docs = documents(spark, repeated)
+    pieces = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("at", "term"))
+    placed = pieces.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+    plain = counted(pieces.filter(~text.is_stop(F.col("term"))).select("doc_id", "term"))
+    marked = special.with_special(index.line_rows(docs).select("doc_id", text.decode_escapes(F.col("line")).alias("line")))
+    single = counted(marked.select("doc_id", F.explode(F.concat("special", text.terms(F.col("rest")))).alias("term")).filter("term <> ''"))
+    phrase = counted(index.phrase_rows(docs).select("doc_id", F.col("phrase").alias("term")))
+    inside = counted(index.phrase_rows(docs).filter("not crossing").select("doc_id", F.col("phrase").alias("term")))
+    common = phrase.join(phrase.groupBy("term").count().filter("count > 1"), "term", "left_semi")
+    for made, expected in (
+        (index.positional_postings(docs), placed),
+        (index.plain_postings(docs), plain),
+        (index.stem_postings(docs), stemmed(plain)),
+        (index.single_postings(docs), single),
+        # Lines of texts that share an id have no order among each other, so that phrases over line ends are those of each text.
+        *([] if repeated else [(index.phrase_postings(docs), phrase), (index.phrase_postings(docs, least_df=2), common)]),
+        (counting.phrases(index.line_tokens(docs), (*STOP_WORDS, *text.PHRASE_SIGNS), crossing=False), inside),
+    ):
+        got = rows_of(made)
+        assert len(got) > 100 and got == rows_of(expected)
+    assert repeated or "Exchange" not in index.plain_postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_marked_as_before(spark):
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(odd_lines(2000))], "i int, line string")
+    found = special.in_lines(lines.select("i", F.array("line").alias("lines"))).select("i", "marked.special", "marked.rest")
+    assert rows_of(found.select("i", F.col("special")[0], F.col("rest")[0])) == rows_of(special.with_special(lines).select("i", "special", "rest"))
+
+
+def test_a_held_index_makes_only_what_is_read(spark, sf_dir, monkeypatch):
+    """Before, weights of all documents were made for queries that read postings or terms alone."""
+    made = []
+    monkeypatch.setattr(catalog, "written", lambda frame, label: (made.append(label), written(frame, label))[1])
+    monkeypatch.setattr(catalog, "_held", {})
+    catalog.positional_index(spark, sf_dir)
+    assert made == ["positional-postings"]
+    catalog.doc_term_matrix(spark, sf_dir)
+    assert "plain-terms" in made and "plain-docs" not in made

@@ -74,9 +74,14 @@ def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "tf", "positions"][: len(columns)])
 
 
+def repeated(rows: DataFrame) -> bool:
+    """Whether rows share a doc_id."""
+    return not rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def _once(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows that share an id are one document: where there are any, their postings are put together."""
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    if not repeated(rows):
         return found
     more = [F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")] if "positions" in found.columns else []
     return found.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), *more)
@@ -155,3 +160,69 @@ def phrases(rows: DataFrame, unfit: tuple[str, ...], crossing: bool = True) -> D
 
     whole = rows.select("doc_id", F.coalesce("t", F.array().cast("array<array<string>>")).alias("t"))
     return _once(whole.mapInArrow(run, _schema(rows, False)), rows)
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of all slices, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def phrase_lists(rows: DataFrame, keys: list[tuple[str, list[str]]]) -> DataFrame:
+    """(key, doc_id, positions) of (doc_id, t): rows that hold every term of a key, with their places from 1 in the order of the terms.
+
+    ``rows`` has each doc_id once. A key is looked up by the term that the fewest rows of a slice hold, so that frequent terms
+    don't meet every key they are in.
+    """
+    names = pa.array([k for k, _ in keys], pa.string())
+    asked = pa.array([t for _, terms in keys for t in terms], pa.string()).dictionary_encode()
+    needs = np.array([len(terms) for _, terms in keys], np.int64)
+    begins = np.cumsum(needs) - needs
+    codes = asked.indices.to_numpy().astype(np.int64)
+    known = len(asked.dictionary)
+
+    def found(ids: pa.Array, owner: np.ndarray, terms: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+        own = pc.index_in(terms, value_set=asked.dictionary)
+        mask = own.is_valid().to_numpy(zero_copy_only=False)
+        pairs = owner[mask] * known + own.drop_null().to_numpy().astype(np.int64)
+        order = np.argsort(pairs, kind="stable")
+        pairs, at = pairs[order], at[mask][order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        sizes, held = np.diff(np.append(first, len(pairs))), pairs[first]
+        docs, words = np.divmod(held, known)
+        df = np.bincount(words, minlength=known)
+        # Each key under its rarest term here; a term's keys lie together.
+        place = np.repeat(np.arange(len(needs)), needs)
+        rank = np.lexsort((codes, df[codes], place))
+        rarest = codes[rank[begins]]
+        by_term = np.argsort(rarest, kind="stable")
+        many = np.bincount(rarest, minlength=known)
+        starts = np.cumsum(many) - many
+        doc = np.repeat(docs, many[words])
+        key = by_term[_ragged(starts[words], many[words])]
+        # All terms of the candidates, as groups of ``held``.
+        each = needs[key]
+        term = codes[_ragged(begins[key], each)]
+        wanted = np.repeat(doc, each) * known + term
+        group = np.minimum(np.searchsorted(held, wanted), max(len(held) - 1, 0))
+        there = held[group] == wanted if len(held) else np.zeros(0, bool)
+        which = np.repeat(np.arange(len(key)), each)
+        whole = np.bincount(which[there], minlength=len(key)) == each
+        group, doc, key, each = group[whole[which]], doc[whole], key[whole], each[whole]
+        inner = np.concatenate(([0], np.cumsum(sizes[group]))).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(inner), pa.array(at[_ragged(first[group], sizes[group])].astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), places)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(key)), ids.take(pa.array(doc)), lists], names=["key", "doc_id", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            offsets = _offsets(lists)
+            for start, end in _slices(offsets):
+                terms = lists.values.slice(offsets[start], offsets[end] - offsets[start])
+                owner = np.repeat(np.arange(start, end), np.diff(offsets[start : end + 1]))
+                yield found(ids, owner, terms, np.arange(offsets[start], offsets[end]) - offsets[owner] + 1)
+
+    schema = T.StructType().add("key", "string").add("doc_id", rows.schema["doc_id"].dataType).add("positions", T.ArrayType(T.ArrayType(T.IntegerType())))
+    whole = rows.select("doc_id", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+    return whole.mapInArrow(run, schema)

@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 
 from lexiquarry.functions import text
 from lexiquarry.functions.stops import STOP_WORDS
-from lexiquarry.operators.index import Index
-from lexiquarry.operators.ranking import bm25, hinted, top
+from lexiquarry.operators import counting
+from lexiquarry.operators.index import Index, placed_postings
+from lexiquarry.operators.ranking import BROADCAST_ROWS, bm25, hinted, top
 from lexiquarry.operators.staging import written
 
 WINDOW = 15
@@ -40,10 +41,30 @@ def intersection(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     ``wanted`` is (key, place, term).
     """
     wanted = written(wanted, "wanted")
-    need = wanted.groupBy("key").agg(F.countDistinct("place").alias("need"))
-    rows = postings.join(hinted(wanted), "term").groupBy("key", "doc_id").agg(F.count("*").alias("have"), F.sort_array(F.collect_list(F.struct("place", "positions"))).alias("lists"))
-    whole = rows.join(hinted(need), "key").filter("have = need")
-    return whole.select("key", "doc_id", F.col("lists.positions").alias("positions"))
+    known = hinted(wanted.select("term").distinct())
+    rows = written(postings.join(known, "term", "left_semi").select("term", "doc_id", "positions"), "placed")
+    df = written(rows.groupBy("term").agg(F.count("*").alias("df")), "df")
+    # A key is looked up by its rarest term, so that frequent terms don't meet every key they are in; one that no document has rules its keys out.
+    keys = wanted.join(hinted(df), "term", "left").groupBy("key").agg(F.count("*").alias("need"), F.count("df").alias("held"), F.min(F.struct("df", "term")).alias("least"))
+    keys = written(keys.filter("need = held").select("key", "need", F.col("least.term").alias("term")), "keys")
+    candidates = rows.select("term", "doc_id").join(hinted(keys), "term").select("key", "need", "doc_id")
+    each = candidates.join(hinted(wanted), "key").join(rows, ["term", "doc_id"])
+    lists = each.groupBy("key", "need", "doc_id").agg(F.count("*").alias("have"), F.sort_array(F.collect_list(F.struct("place", "positions"))).alias("lists"))
+    return lists.filter("have = need").select("key", "doc_id", F.col("lists.positions").alias("positions"))
+
+
+def lists_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What ``intersection`` gives of the documents' positional postings, found within each document and without a shuffle where that can be done.
+
+    Phrases that are too many to send with the tasks, and texts that share an id, take the postings.
+    """
+    wanted = written(wanted, "wanted")
+    if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS or counting.repeated(docs):
+        return intersection(placed_postings(docs, hinted(wanted.select("term").distinct())), wanted)
+    listed: dict[str, list[str]] = {}
+    for r in wanted.orderBy("key", "place").collect():  # BROADCAST_ROWS at most
+        listed.setdefault(r["key"], []).append(r["term"])
+    return counting.phrase_lists(docs.select("doc_id", text.tokens(F.col("text")).alias("t")), sorted(listed.items()))
 
 
 def near_pairs(lists: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import special, text
 from lexiquarry.functions.stemmer import stemmed
 from lexiquarry.functions.stops import STOP_WORDS
-from lexiquarry.operators import counting, index, ranking
+from lexiquarry.operators import counting, dynamic, index, ranking
 from lexiquarry.operators.staging import written
 from lexiquarry.plans import catalog
 
@@ -100,3 +100,23 @@ def test_a_held_index_makes_only_what_is_read(spark, sf_dir, monkeypatch):
     assert made == ["positional-postings"]
     catalog.doc_term_matrix(spark, sf_dir)
     assert "plain-terms" in made and "plain-docs" not in made
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_lists_are_met_within_documents(spark, repeated, monkeypatch):
+    """Before, all positions were written, and those of frequent terms met each phrase they are in."""
+    monkeypatch.setattr(counting, "SLICE", 50)
+    docs = documents(spark, repeated)
+    keys = ["red fox", "fox red fox", "the red", "red red", "red nowhere", "nowhere", "fox u.s at", "of 中文", "a b c", "co-operate red"]
+    wanted = dynamic.phrase_terms(spark.createDataFrame([(k,) for k in keys], "phrase string"))
+    places = {}
+    for r in index.positional_postings(docs).collect():
+        places[r.term, r.doc_id] = r.positions
+    ids = {d for _, d in places}
+    expected = sorted((k, d, [places[t, d] for t in k.split(" ")]) for k in keys for d in ids if all((t, d) in places for t in k.split(" ")))
+    made = dynamic.lists_in(docs, wanted)
+    assert len(expected) > 100 and rows_of(made) == expected
+    assert rows_of(dynamic.intersection(index.positional_postings(docs), wanted)) == expected
+    assert repeated or "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    none = dynamic.phrase_terms(spark.createDataFrame([], "phrase string"))
+    assert dynamic.lists_in(docs, none).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import special, text
 from lexiquarry.functions.stemmer import stemmed
 from lexiquarry.functions.stops import STOP_WORDS
-from lexiquarry.operators import counting, dynamic, index, ranking
+from lexiquarry.operators import cluster, counting, dynamic, index, ranking
 from lexiquarry.operators.staging import written
 from lexiquarry.plans import catalog
 
@@ -120,3 +120,43 @@ def test_lists_are_met_within_documents(spark, repeated, monkeypatch):
     assert repeated or "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     none = dynamic.phrase_terms(spark.createDataFrame([], "phrase string"))
     assert dynamic.lists_in(docs, none).count() == 0
+
+
+def test_cells_give_what_all_pairs_give(spark, monkeypatch):
+    """Before, all pairs of a cluster were made in one task, by a join on the cluster alone. Equal vectors tie, and go by their ids."""
+    for name, value in (("MEMBERS", 20), ("ASKING", 7), ("AT_ONCE", 3)):
+        monkeypatch.setattr(cluster, name, value)
+    rng = random.Random(6)
+    same = [rng.random() for _ in range(5)]
+    vectors = [(i, same if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(5)], i % 2) for i in range(180)]
+    members = spark.createDataFrame(vectors, "id long, vec array<double>, cluster int")
+    asking = members.filter("id % 5 < 2").select(F.col("id").alias("query_id"), (F.col("id") % 2).cast("int").alias("cluster"), F.col("vec").alias("q"))
+    every = asking.join(members, "cluster").select("query_id", "id", F.round(cluster.cosine(F.col("q"), F.col("vec")), 6).alias("score")).collect()
+    expected = {}
+    for r in sorted(every, key=lambda r: (r.query_id, -r.score, r.id)):
+        expected.setdefault(r.query_id, []).append((r.score, r.id))
+    made = cluster._scored(asking, members, 10)
+    got = {}
+    for r in sorted(made.select("query_id", "id", F.round("score", 6).alias("score")).collect(), key=lambda r: (r.query_id, -r.score, r.id)):
+        got.setdefault(r.query_id, []).append((r.score, r.id))
+    assert {q: x[:10] for q, x in got.items()} == {q: x[:10] for q, x in expected.items()}
+    assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(cluster") == 2
+    uneven = members.unionByName(spark.createDataFrame([(500, [1.0], 0)], members.schema))
+    assert cluster._scored(asking, uneven, 10).count() == len(every) + asking.filter("cluster = 0").count()
+
+
+def test_large_clusters_are_clustered_again_in_the_same_rounds(spark, monkeypatch):
+    """Before, each had its own rounds, one after the other. Each gets the parts that it gets alone."""
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(150)], "id long, vec array<double>, parent int")
+    moves, move = [], cluster._move
+    monkeypatch.setattr(cluster, "_move", lambda *a: (moves.append(1), move(*a))[1])
+    first = {p: {i: list(r.vec) for i, r in enumerate(rows.filter(F.col("parent") == p).orderBy("id").limit(4).collect())} for p in range(3)}
+    _, together = cluster._rounds(rows, first)
+    joint, alone = len(moves), []
+    for p in range(3):
+        moves.clear()
+        centres = {r.cluster: r.centroid for r in cluster.kmeans(rows.filter(F.col("parent") == p).select("id", "vec"), 4)[1].collect()}
+        alone.append(len(moves))
+        assert {c: pytest.approx(v, abs=1e-9) for c, v in together[p].items()} == centres
+    assert joint == max(alone)
